@@ -67,14 +67,14 @@ def _hop(size, slide):
     return f"""
 SELECT symbol, (ts // {slide} - i) * {slide} AS bar_start,
        CAST(sum(volume) AS BIGINT) AS total_volume, count(*) AS trade_count,
-       round(avg(price), 4) AS avg_price
+       round(1e-7 + avg(price), 4) AS avg_price
 FROM t, range(0, {n}) r(i) GROUP BY 1, 2"""
 
 
 def _match(cols, cond):
     return f"""
 SELECT t.event_id, t.symbol, t.price AS trade_price, t.volume, {cols},
-       o.price AS order_price, round(t.price - o.price, 4) AS price_diff
+       o.price AS order_price, round(1e-7 + t.price - o.price, 4) AS price_diff
 FROM t JOIN o ON t.symbol = o.symbol AND {cond}"""
 
 
@@ -92,7 +92,7 @@ def _asof_order(kind):
     return t(f"""
 SELECT t.event_id, t.symbol, t.price AS trade_price, t.volume, t.account_id AS trade_account,
        o.order_id, o.account_id AS order_account, o.price AS order_price,
-       round(t.price - o.price, 4) AS price_spread
+       round(1e-7 + t.price - o.price, 4) AS price_spread
 FROM t ASOF {kind} JOIN ob o ON t.symbol = o.symbol AND t.ts >= o.ts""", ORDERS, _BEST_O)
 
 
@@ -105,7 +105,7 @@ FROM t""")
 
 def _totals(where="op IN ('I', 'U')"):
     return f"""
-SELECT customer_id, count(*) AS total_orders, round(sum(amount), 4) AS total_spent
+SELECT customer_id, count(*) AS total_orders, round(1e-7 + sum(amount), 4) AS total_spent
 FROM c WHERE {where} GROUP BY 1"""
 
 
@@ -124,7 +124,7 @@ SELECT '{name}' AS stream, count(*) AS rows, CAST(sum({a}) AS BIGINT) AS volume_
     ctes, tail = sessions.split("\nSELECT ", 1)
     parts = [
         part("vol_baseline", "total_volume", "avg_price",
-             _hop(6 * HOUR, HOUR).replace("round(avg(price), 4)", "avg(price)")),
+             _hop(6 * HOUR, HOUR).replace("round(1e-7 + avg(price), 4)", "avg(price)")),
         part("ohlc_vol", "volume", "high - low", _bars(HOUR)),
         part("rapid_fire", "burst_volume", "high", "SELECT " + tail),
         part("wash_score", "buy_volume", "sell_volume", _WASH),
@@ -146,7 +146,7 @@ SELECT account_id, symbol, (ts // {HOUR}) * {HOUR} AS bar_start,
 FROM t GROUP BY 1, 2, 3"""
 _SUMMARY = f"""
 SELECT symbol, (ts // {HOUR}) * {HOUR} AS bar_start, count(*) AS trades,
-       round(sum(price * CAST(volume AS DOUBLE)), 4) AS notional
+       round(1e-7 + sum(price * CAST(volume AS DOUBLE)), 4) AS notional
 FROM t GROUP BY 1, 2"""
 _COUNTS = f"""
 SELECT symbol, (ts // {HOUR}) * {HOUR} AS bar_start, count(*) AS trade_count,
@@ -159,7 +159,7 @@ _SLOWER = f"(SELECT least((SELECT max(ts) FROM t), (SELECT max(ts) FROM {{r}}))
 ORACLE = {
     "passthrough": t("\nSELECT event_id, symbol, price, volume, ts FROM t"),
     "projection_casts": t(f"""
-SELECT event_id, symbol AS name, round(price * CAST(volume AS DOUBLE), 4) AS notional,
+SELECT event_id, symbol AS name, round(1e-7 + price * CAST(volume AS DOUBLE), 4) AS notional,
        CASE WHEN side = 'buy' THEN volume ELSE CAST(0 AS BIGINT) END AS buy_volume,
        CAST(trunc(price) AS BIGINT) AS whole_price, (ts // {HOUR}) * {HOUR} AS bar_start
 FROM t WHERE price >= 1.0 AND volume BETWEEN 10 AND 90"""),
@@ -169,7 +169,7 @@ FROM t WHERE price >= 1.0 AND volume BETWEEN 10 AND 90"""),
     "hop_volume": t(_hop(6 * HOUR, HOUR)),
     "session_burst": t(_sessions("symbol", 1_800_000)),
     "rapid_fire": t(_sessions("account_id", 1_800_000)),
-    "ohlc_volatility": t(f"\nSELECT *, round(high - low, 4) AS price_range FROM ({_bars(HOUR)})"),
+    "ohlc_volatility": t(f"\nSELECT *, round(1e-7 + high - low, 4) AS price_range FROM ({_bars(HOUR)})"),
     "wash_score": t(_WASH),
     "trade_summary": t(_SUMMARY),
     "window_count": t("\n" + _CNT),
@@ -177,15 +177,15 @@ FROM t WHERE price >= 1.0 AND volume BETWEEN 10 AND 90"""),
     "having_impossible": t(_COUNTS + " HAVING sum(volume) > 99999999"),
     "cascade_ohlc": t(_bars(6 * HOUR)),
     "running_totals": t("""
-SELECT account_id, count(*) AS trades, round(sum(price), 4) AS spent FROM t GROUP BY 1"""),
+SELECT account_id, count(*) AS trades, round(1e-7 + sum(price), 4) AS spent FROM t GROUP BY 1"""),
     "interval_match": t(_match("o.order_id, o.side", _SYMMETRIC), ORDERS),
     "suspicious_match": t(_match("o.order_id, o.account_id, o.side", _SYMMETRIC), ORDERS),
     "forward_match": t(
         _match("o.order_id, o.side", f"t.ts BETWEEN o.ts AND o.ts + {BAND}")
         + " WHERE t.price >= o.price", ORDERS),
     "asof_quote": t(f"""
-SELECT t.event_id, t.symbol, t.price AS trade_price, t.volume, round(q.bid, 4) AS bid,
-       round(q.ask, 4) AS ask, round(t.price - q.bid, 4) AS spread
+SELECT t.event_id, t.symbol, t.price AS trade_price, t.volume, round(1e-7 + q.bid, 4) AS bid,
+       round(1e-7 + q.ask, 4) AS ask, round(1e-7 + t.price - q.bid, 4) AS spread
 FROM t ASOF JOIN qb q ON t.symbol = q.symbol AND t.ts >= q.ts
 WHERE t.ts - q.ts <= {BAND}""", QUOTES, _BEST_Q),
     "asof_order": _asof_order(""),
@@ -269,9 +269,9 @@ SELECT t.event_id, t.symbol, t.price, o.order_id, o.price AS order_price
 FROM t ASOF JOIN ob o ON t.symbol = o.symbol AND t.ts >= o.ts
 WHERE t.ts <= {_SLOWER.format(r='o')}""", ORDERS, _BEST_O),
     "stream_asof_quote": t(f"""
-SELECT t.event_id, t.symbol, t.price, q.quote_id, round(q.bid, 4) AS bid, round(q.ask, 4) AS ask
+SELECT t.event_id, t.symbol, t.price, q.quote_id, round(1e-7 + q.bid, 4) AS bid, round(1e-7 + q.ask, 4) AS ask
 FROM t ASOF JOIN qb q ON t.symbol = q.symbol AND t.ts >= q.ts
-WHERE t.ts - q.ts <= {BAND} AND t.ts + 1 <= {_SLOWER.format(r='q')}""", QUOTES, _BEST_Q),
+WHERE t.ts - q.ts <= {BAND} AND t.ts + 1 <= {_SLOWER.format(r='q')} - {BAND}""", QUOTES, _BEST_Q),
     "stream_lookup": t("""
 SELECT t.event_id, t.account_id, c.c_name
 FROM t JOIN customer c ON t.account_id = 'ACCT-' || CAST(c.c_custkey AS VARCHAR)"""),

@@ -28,10 +28,15 @@ THRESHOLD, IMPOSSIBLE = 200, 99_999_999
 VERSION_CUT = "1997-01-01"
 
 
+# Added before rounding, so that a value halfway between two results rounds the
+# same way whatever the order of summation.
+NUDGE = 1e-7
+
+
 def r4(*names):
     def apply(df):
         for n in names:
-            df = df.withColumn(n, F.round(n, 4))
+            df = df.withColumn(n, F.round(F.col(n) + NUDGE, 4))
         return df
     return apply
 

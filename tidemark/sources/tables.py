@@ -34,8 +34,12 @@ TABLES = {
 
 
 def table(spark, folder, name, stream=False):
-    read = read_stream if stream else read_batch
-    return read(spark, f"{folder}/{name}.parquet", TABLES[name])
+    """A table that is one parquet file or a folder of them."""
+    path = f"{folder}/{name}.parquet"
+    if stream:
+        # A stream takes a single file only through a pattern.
+        return read_stream(spark, f"{path}*", TABLES[name])
+    return read_batch(spark, path, TABLES[name])
 
 
 def trades(spark, folder, stream=False):

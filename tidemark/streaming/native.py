@@ -19,7 +19,7 @@ def stream_asof_band(left, right, on, right_cols, row_id, tolerance, tiebreak=No
     keep = [c for c in right_cols if c not in on]
     cols = [
         *[f"l.{c} AS {c}" for c in (*on, row_id, ts, *left_cols)], "l.event_time AS event_time",
-        f"struct(r.{ts} AS _match_ts, {', '.join('r.' + c for c in keep)}) AS _m",
+        f"struct(r.{ts} AS match_ts, {', '.join('r.' + c for c in keep)}) AS _m",
         (f"struct(r.{ts}, r.{tiebreak}) AS _rank" if tiebreak else f"r.{ts} AS _rank"),
     ]
     pairs = band_join(left, right, on, -ms, 0, cols, ts)
@@ -27,7 +27,7 @@ def stream_asof_band(left, right, on, right_cols, row_id, tolerance, tiebreak=No
         F.max_by("_m", "_rank").alias("_m")
     )
     return best.select(
-        *on, row_id, ts, *left_cols, *[F.col(f"_m.{c}").alias(c) for c in [*keep, "_match_ts"]]
+        *on, row_id, ts, *left_cols, *[F.col(f"_m.{c}").alias(c) for c in [*keep, "match_ts"]]
     )
 
 
