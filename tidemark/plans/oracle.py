@@ -114,25 +114,30 @@ def _wrap(inner, where):
     return f"{head}\nSELECT * FROM (SELECT {body}) WHERE {where}"
 
 
-def _summary():
-    def part(name, a, b, rows, ctes=""):
+def _summary(live=False):
+    """Rows and totals per stream; ``live`` keeps what a drained stream has emitted."""
+    def part(name, a, b, rows, done):
+        where = f" WHERE {done}" if live else ""
         return f"""
 SELECT '{name}' AS stream, count(*) AS rows, CAST(sum({a}) AS BIGINT) AS volume_total,
-       round(sum(CAST({b} AS DOUBLE)), 2) AS value_total FROM ({rows})"""
+       round(sum(CAST({b} AS DOUBLE)), 2) AS value_total FROM ({rows}){where}"""
 
-    sessions = _sessions("account_id", 1_800_000)
-    ctes, tail = sessions.split("\nSELECT ", 1)
+    ctes, tail = _sessions("account_id", 1_800_000).split("\nSELECT ", 1)
+    hour = _closed(HOUR)
     parts = [
         part("vol_baseline", "total_volume", "avg_price",
-             _hop(6 * HOUR, HOUR).replace("round(1e-7 + avg(price), 4)", "avg(price)")),
-        part("ohlc_vol", "volume", "high - low", _bars(HOUR)),
-        part("rapid_fire", "burst_volume", "high", "SELECT " + tail),
-        part("wash_score", "buy_volume", "sell_volume", _WASH),
+             _hop(6 * HOUR, HOUR).replace("round(1e-7 + avg(price), 4)", "avg(price)"),
+             _closed(6 * HOUR)),
+        part("ohlc_vol", "volume", "high - low", _bars(HOUR), hour),
+        part("rapid_fire", "burst_volume", "high", "SELECT " + tail,
+             _closed(0, "session_end + 1800000")),
+        part("wash_score", "buy_volume", "sell_volume", _WASH, hour),
         part("suspicious_match", "volume", "order_price",
-             _match("o.order_id, o.account_id, o.side", _SYMMETRIC)),
+             _match("o.order_id, o.account_id, o.side", _SYMMETRIC), "true"),
         part("asof_match", "volume", "order_price", """
-SELECT t.volume, o.price AS order_price
-FROM t ASOF JOIN ob o ON t.symbol = o.symbol AND t.ts >= o.ts"""),
+SELECT t.ts, t.volume, o.price AS order_price
+FROM t ASOF JOIN ob o ON t.symbol = o.symbol AND t.ts >= o.ts""",
+             f"ts <= {_SLOWER.format(r='o')}"),
     ]
     return t(ctes + "\n" + "\nUNION ALL".join(parts), ORDERS, _BEST_O)
 
@@ -284,4 +289,5 @@ SELECT *, 'table' AS target FROM r UNION ALL SELECT *, 'topic' AS target FROM r"
 SELECT symbol, count(*) AS rows, CAST(sum(volume) AS BIGINT) AS volume FROM t GROUP BY 1"""),
     "table_sink_rows": t(_bars(HOUR)),
     "fraud_detection": _summary(),
+    "stream_detection": _summary(live=True),
 }

@@ -463,15 +463,21 @@ def table_sink_rows(s, d):
 
 # --- six streams together -------------------------------------------------------------
 
-def _detect(s, d):
+def _detect(trades, orders):
     return fraud.detection_streams(
-        _trades(s, d), tables.orders(s, d), hop_size=HOP_SIZE, hop_slide=HOP_SLIDE, bar=BAR,
+        trades, orders, hop_size=HOP_SIZE, hop_slide=HOP_SLIDE, bar=BAR,
         burst_gap=GAP, wash=BAR, match=BAND, order="seq",
     )
 
 
 def fraud_detection(s, d):
-    return fraud.detection_summary(_detect(s, d))
+    return fraud.detection_summary(_detect(_trades(s, d), tables.orders(s, d)))
+
+
+def stream_detection(s, d):
+    """The six streams as six running queries, each emitting final rows."""
+    streams = _detect(_live(tables.trades, s, d), _live(tables.orders, s, d))
+    return fraud.detection_summary(emit.on_close_all(streams, "stream_detection"))
 
 
 QUERIES = {f.__name__: f for f in [
@@ -485,5 +491,5 @@ QUERIES = {f.__name__: f for f in [
     stream_session, stream_having, stream_cascade, stream_match, stream_update, stream_totals,
     stream_changes, stream_session_updates, stream_lag, stream_lead, stream_asof,
     stream_asof_quote, stream_lookup, stream_late, fanout, foreach_batch, append_ingest,
-    table_sink_rows, fraud_detection,
+    table_sink_rows, fraud_detection, stream_detection,
 ]}

@@ -2,7 +2,7 @@
 
 from contextlib import contextmanager
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions.time import duration
 from ..operators.changelog import diff
@@ -11,8 +11,6 @@ from ..session import ROCKSDB, is_local, scratch
 from ..sinks.foreach import for_each_batch, table_target
 from ..sinks.tables import stream_to_table
 
-DRAIN = {"availableNow": True}
-
 
 def watermark(df, delay, event_time=EVENT_TIME):
     """Rows older than the newest event time minus ``delay`` may be dropped as late."""
@@ -60,6 +58,20 @@ def on_close(df, name, folder=None):
     return spark.read.schema(df.schema).parquet(f"{folder}/data")
 
 
+def on_close_all(streams, name, folder=None):
+    """Several streams at once, each its own query and checkpoint; returns result tables by name."""
+    spark = next(iter(streams.values())).sparkSession
+    folder = folder or scratch(spark, name)
+    with stream_settings(spark):
+        running = [
+            stream_to_table(df, f"{folder}/{n}/data", f"{folder}/{n}/checkpoint")
+            for n, df in streams.items()
+        ]
+        for query in running:
+            query.awaitTermination()
+    return {n: spark.read.schema(df.schema).parquet(f"{folder}/{n}/data") for n, df in streams.items()}
+
+
 def on_update(df, name, folder=None, complete=False):
     """Emit a row whenever a result changes; returns all emissions with their ``batch_id``."""
     spark = df.sparkSession
@@ -109,20 +121,7 @@ def emit_changes(df, keys, name, folder=None):
     return spark.read.schema(out.add("batch_id", "long")).parquet(f"{folder}/data")
 
 
-def closed(df, end_ms, delay, newest_ms):
-    """Batch counterpart of closing: rows whose window ended by the final watermark."""
-    from ..functions.time import interval_ms
-
-    return df.where(F.col(end_ms) <= F.lit(newest_ms - interval_ms(delay)))
-
-
-def newest_emission(updates, keys):
-    """Mark the last emission per key among all emissions."""
-    w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
-    return updates.withColumn("is_newest", F.row_number().over(w) == 1)
-
-
 __all__ = [
-    "DRAIN", "closed", "drain", "emit_changes", "final_rows", "newest_emission", "on_close",
-    "on_update", "stream_settings", "watermark",
+    "drain", "emit_changes", "final_rows", "on_close", "on_close_all", "on_update",
+    "stream_settings", "watermark",
 ]
