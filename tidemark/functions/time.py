@@ -50,10 +50,15 @@ def with_event_time(df, ts=TIME, name=EVENT_TIME):
     return df.withColumn(name, F.timestamp_millis(F.col(ts)))
 
 
+def align(col, width) -> Column:
+    """Largest multiple of ``width`` that is not above the integer column ``col``."""
+    c = F.col(col) if isinstance(col, str) else col
+    return c - F.pmod(c, F.lit(width).cast("long"))
+
+
 def window_start(ts, size) -> Column:
     """Start (ms) of the epoch-aligned tumbling window that holds epoch-ms column ``ts``."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return c - F.pmod(c, F.lit(interval_ms(size)).cast("long"))
+    return align(ts, interval_ms(size))
 
 
 def tumble(size, event_time=EVENT_TIME) -> Column:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import Window, functions as F
 
+from ..functions.time import align
+
 
 def recent_n(df, n, order, keys=()):
     """The ``n`` newest rows, over all rows or per key.
@@ -24,7 +26,7 @@ def latest_by_key(df, keys, cols, order):
 
 def throughput(df, keys=(), size_ms=1000, ts="ts", name="rows", last=60):
     """Rows per tick, newest ``last`` ticks (all ticks if None)."""
-    tick = (F.col(ts) - F.pmod(F.col(ts), F.lit(size_ms).cast("long"))).alias("tick")
+    tick = align(ts, size_ms).alias("tick")
     counts = df.groupBy(*keys, tick).agg(F.count(F.lit(1)).alias(name))
     return counts if last is None else recent_n(counts, last, ["tick"], keys)
 

@@ -11,7 +11,7 @@ from math import gcd
 from pyspark.sql import Window, functions as F
 
 from ..functions import measures as M
-from ..functions.time import hop, interval_ms, session, start_ms, tumble
+from ..functions.time import align, hop, interval_ms, session, start_ms, tumble
 from ..schemas import EVENT_TIME
 
 
@@ -115,28 +115,32 @@ def _session_cells(df, keys, gap, measures, start, end, event_time,
     us = F.unix_micros(F.col(event_time))
     cells = (
         df.where(F.col(event_time).isNotNull())
-        .groupBy(*keys, F.floor(us / F.lit(gap_us)).alias("_cell"))
+        .groupBy(*keys, align(us, gap_us).alias("_cell"))
         .agg(F.min(us).alias("_s"), F.max(us).alias("_e"), *M.partials(measures))
-        .withColumn("_block", F.floor(F.col("_cell") / F.lit(cells_per_block)))
+        .withColumn("_block", align("_cell", gap_us * cells_per_block))
     )
     pieces = _merge_runs(cells, [*keys, "_block"], gap_us, measures)
-    by_block = Window.partitionBy(*keys, "_block").orderBy("_run")
-    edge = (F.col("_run") == 1) | F.lead("_run").over(by_block).isNull()
     # Inner pieces keep their block as group: nothing can merge with them.
-    grouped = pieces.withColumn("_group", F.when(edge, F.lit(None)).otherwise(F.col("_block")))
-    merged = _merge_runs(grouped.drop("_run", "_block"), [*keys, "_group"], gap_us, measures)
+    group = F.when(F.col("_edge"), F.lit(None)).otherwise(F.col("_block"))
+    grouped = pieces.withColumn("_group", group).drop("_edge", "_run", "_block")
+    merged = _merge_runs(grouped, [*keys, "_group"], gap_us, measures)
     ms = lambda c: F.floor(F.col(c) / 1000).cast("long")
     return merged.select(*keys, *_bounds(start, end, ms("_s"), ms("_e")), *M.results(measures))
 
 
 def _merge_runs(df, part, gap_us, measures):
-    """Merge neighbouring pieces of one group that are at most the gap apart."""
+    """Merge neighbouring pieces of one group that are at most the gap apart.
+
+    ``_edge`` tells whether a merged piece holds the first or last piece of its group.
+    """
     w = Window.partitionBy(*part).orderBy("_s")
     prev_end = F.lag("_e").over(w)
     opens = F.when(prev_end.isNull() | (F.col("_s") - prev_end > gap_us), 1).otherwise(0)
+    edge = prev_end.isNull() | F.lead("_s").over(w).isNull()
     return (
-        df.withColumn("_opens", opens)
-        .withColumn("_run", F.sum("_opens").over(w))
+        df.withColumns({"_opens": opens, "_edge": edge})
+        .withColumn("_run", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*part, "_run")
-        .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), *M.merges(measures))
+        .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.max("_edge").alias("_edge"),
+             *M.merges(measures))
     )

@@ -65,21 +65,17 @@ def decode_log_lines(lines, value="value", schema=CDC_ORDERS):
     text = F.col(value)
     insert = text.contains(INSERT_MARK)
     update = text.contains(UPDATE_MARK)
-    after = lambda mark: F.regexp_extract(text, f"{mark}(.*)$", 1)
-    cells = (
-        F.when(insert, after(INSERT_MARK))
-        .when(text.contains(NEW_MARK), after(NEW_MARK))
-        .otherwise(after(UPDATE_MARK))
-    )
+    new_image = update & ~insert & text.contains(NEW_MARK)
+    cells = F.when(new_image, F.substring_index(text, NEW_MARK, -1)).otherwise(text)
     rows = lines.where(text.contains(TABLE_MARK) & (insert | update)).select(cells.alias("_cells"))
     out = rows.select(*[_cell(f.name, f.dataType).alias(f.name) for f in schema.fields])
     return out.where(F.col("customer_id") != 0)
 
 
 def _cell(name, dtype):
-    pattern = rf"(?:^|\s){name}\[[^\]]*\]:(?:'([^']*)'|(\S+))"
-    quoted = F.regexp_extract("_cells", pattern, 1)
-    raw = F.when(quoted != "", quoted).otherwise(F.regexp_extract("_cells", pattern, 2))
+    # A quoted value may hold blanks; a bare one ends at the next blank.
+    value = r"((?<=')[^']*|[^'\s]*)"
+    raw = F.regexp_extract("_cells", rf"\s{name}\[[^\]]*\]:'?{value}", 1)
     if isinstance(dtype, T.StringType):
         return raw
     return F.coalesce(raw.try_cast(dtype), F.lit(0).cast(dtype))

@@ -110,11 +110,13 @@ def order_log_lines(spark, folder, stream=False):
     """The orders table as textual change-log lines."""
     o = table(spark, folder, "orders", stream)
     status = F.col("o_orderstatus")
-    cells = F.format_string(
-        "id[integer]:%d customer_id[integer]:%d amount[numeric]:%s "
-        "status[character varying]:'%s' ts[bigint]:%d",
-        "o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
-        "o_orderpriority", F.unix_millis("o_orderdate"),
+    text = lambda c: F.col(c).cast("string")
+    cells = F.concat(
+        F.lit("id[integer]:"), text("o_orderkey"),
+        F.lit(" customer_id[integer]:"), text("o_custkey"),
+        F.lit(" amount[numeric]:"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
+        F.lit(" status[character varying]:'"), F.col("o_orderpriority"),
+        F.lit("' ts[bigint]:"), F.unix_millis("o_orderdate").cast("string"),
     )
     head = F.when(status == "O", " INSERT: ").when(
         status == "F", " UPDATE: old-key: id[integer]:0 new-tuple: "
