@@ -13,8 +13,10 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    # Interpreted plans: on tiny inputs compiling generated code is most of the time.
     s = build_session(
-        "tests", master="local[8]", spark__sql__shuffle__partitions=8,
+        "tests", master="local[8]", spark__sql__shuffle__partitions=4,
+        spark__sql__codegen__wholeStage="false",
         spark__ui__enabled="false", spark__driver__memory="6g",
     )
     s.sparkContext.setLogLevel("ERROR")
