@@ -153,8 +153,8 @@ def test_null_neighbour_value_is_not_the_default(spark):
 
 
 def test_hot_segments_are_cut(df):
-    cut, levels = segments(df, ["symbol"], "ts", 10_000, "id", hot_rows=20)
-    assert levels == ["_seg0", "_seg1", "_seg2"]
+    cut, levels, between = segments(df, ["symbol"], "ts", 10_000, "id", hot_rows=20)
+    assert levels == ["_seg0", "_seg1", "_seg2"] and between == (0, 599)
     assert cut.count() == df.count()
     biggest = cut.groupBy("symbol", *levels).count().agg(F.max("count")).first()[0]
     assert biggest <= 40
@@ -199,13 +199,15 @@ def _asof(rows, right_rows, tolerance):
 
 @pytest.mark.parametrize("form,tolerance,how", [
     ("instants", None, "inner"), ("instants", None, "left"), ("instants", 0, "inner"),
-    ("instants", 50, "left"), ("instants", 1_000, "inner"), ("window", None, "inner"),
-    ("window", 1_000, "left"),
+    ("instants", 50, "left"), ("instants", 1_000, "inner"), ("slots", None, "inner"),
+    ("slots", None, "left"), ("slots", 50, "left"), ("slots", 1_000, "inner"),
+    ("window", None, "inner"), ("window", 1_000, "left"),
 ])
 def test_asof(df, right, rows, right_rows, tolerance, how, form):
-    if form == "instants":
+    if form != "window":
         got = joins.asof_join(df, right, ["symbol"], ["rid", "bid"], tiebreak="rid",
-                              tolerance=tolerance, how=how, bucket=2_000)
+                              tolerance=tolerance, how=how, bucket=2_000,
+                              hot_rows=10 if form == "instants" else 10_000)
     else:
         got = joins.asof_window(df, right, ["symbol"], ["rid", "bid"], tiebreak="rid",
                                 tolerance=tolerance, how=how)
@@ -221,6 +223,15 @@ def test_asof_keeps_duplicate_left_rows(spark, right):
     assert joins.asof_join(left, right, ["symbol"], ["rid"], tiebreak="rid").count() == 5
 
 
+@pytest.mark.parametrize("hot", [None, 0])
+def test_asof_null_keys_match_nothing(spark, hot):
+    cols = "symbol string, ts long, v int"
+    left = spark.createDataFrame([(None, 5, 1), ("A", None, 2), ("A", 5, 3)], cols)
+    right = spark.createDataFrame([(None, 1, 7), ("A", None, 8), ("A", 2, 9)], "symbol string, ts long, w int")
+    got = joins.asof_join(left, right, ["symbol"], ["w"], how="left", hot_rows=hot).collect()
+    assert {r.v: r.w for r in got} == {1: None, 2: None, 3: 9}
+
+
 @pytest.mark.parametrize("limit,broadcast", [(10, True), (1, False)])
 def test_lookup_checks_size(spark, df, limit, broadcast):
     dim = spark.createDataFrame([("A", "first"), ("B", "second")], "symbol string, label string")

@@ -3,7 +3,8 @@
 from pyspark.sql import Window, functions as F
 
 from ..functions.time import interval_ms
-from .ordered import HOT_ROWS, carry, segments
+from ..session import pin
+from .ordered import HOT_ROWS, carry, rank_in_segment, segments
 
 
 def lag_window(df, keys, order, col, name, offset=1, default=None):
@@ -35,35 +36,32 @@ def lead(df, keys, col, name, time="ts", tiebreak=None, offset=1, default=None,
 
 def _neighbour(df, keys, col, name, time, tiebreak, offset, default, segment, hot_rows, step):
     order = [time] + ([tiebreak] if tiebreak else [])
-    cut, levels = segments(df, keys, time, interval_ms(segment), tiebreak, hot_rows)
-    source = F.struct(F.col(col).alias("v"))
-    edge = F.struct(F.lit(default).cast(df.schema[col].dataType).alias("v"))
+    width = interval_ms(segment)
+    cut, levels, between = segments(df, keys, time, width, tiebreak, hot_rows)
+    rank = rank_in_segment(time, tiebreak, width, between)
+    none = F.struct(F.lit(default).cast(df.schema[col].dataType).alias("v"))
+    source = F.col(col)
     # A wider offset is the same one-row shift taken repeatedly.
     for _ in range(offset):
-        cut = _shift(cut, keys, levels, order, source, step).withColumn(
-            "_shift", F.coalesce(F.col("_near"), edge)
-        ).drop("_near")
+        near = _shift(cut, keys, levels, order, rank, source, step)
+        cut = near.withColumn("_shift", F.coalesce(F.col("_near"), none)["v"]).drop("_near")
         source = F.col("_shift")
-    return cut.withColumn(name, F.col("_shift.v")).drop("_shift", *levels)
+    return cut.withColumn(name, F.col("_shift")).drop("_shift", *levels)
 
 
-def _shift(cut, keys, levels, order, source, step):
-    """Add ``_near``: the neighbour's ``source`` struct, null only at the edge of a key."""
+def _shift(cut, keys, levels, order, rank, source, step):
+    """Add ``_near``: the neighbour's value in a struct, which is null only at the edge of a key."""
     part = [*keys, *levels]
     w = Window.partitionBy(*part).orderBy(*order)
-    near = F.lag(source, 1) if step < 0 else F.lead(source, 1)
-    local = cut.withColumn("_near", near.over(w))
-    rank = F.struct(*order)
+    value = F.struct(source.alias("v"))
+    local = cut.withColumn("_near", (F.lag(value) if step < 0 else F.lead(value)).over(w))
     edge = F.max_by(source, rank) if step < 0 else F.min_by(source, rank)
-    cells = cut.groupBy(*part).agg(edge.alias("_sum"))
-    if step > 0:
-        # Carrying backwards is carrying forwards over negated segments.
-        for c in levels:
-            cells = cells.withColumn(c, -F.col(c))
-    moved = carry(cells, keys, levels, "last").select(*part, "_carry")
-    if step > 0:
-        for c in levels:
-            moved = moved.withColumn(c, -F.col(c))
+    cells = cut.groupBy(*part).agg(edge.alias("v")).select(*part, F.struct("v").alias("_sum"))
+    if len(levels) > 1:
+        cells = pin(cells)  # every level reads them again
+    # Carrying backwards is carrying forwards over negated segments.
+    turn = (lambda d: d.withColumns({c: -F.col(c) for c in levels})) if step > 0 else (lambda d: d)
+    moved = turn(carry(turn(cells), keys, levels, "last")).select(*part, "_carry")
     return (
         local.join(moved, part, "left")
         .withColumn("_near", F.coalesce("_near", "_carry"))

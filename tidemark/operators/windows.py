@@ -99,8 +99,8 @@ def session_native(df, keys, gap, measures, start="session_start", end="session_
     return _session_stream(df, keys, gap, measures, start, end, event_time)
 
 
-# Cells per merge group: bounds the rows one task merges for one key.
-CELLS_PER_BLOCK = 4096
+# Cells per merge group: bounds the rows one task sorts for one key.
+CELLS_PER_BLOCK = 1 << 20
 
 
 def _session_cells(df, keys, gap, measures, start, end, event_time,

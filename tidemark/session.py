@@ -29,6 +29,18 @@ def is_local(spark):
     return spark.sparkContext.master.startswith("local")
 
 
+def pin(df):
+    """Compute a small frame once and keep it in the shared checkpoint folder.
+
+    Plans that use it several times then read the stored rows, also after an
+    executor is lost.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch(spark, "pinned"))
+    return df.checkpoint()
+
+
 def scratch(spark, name):
     """A fresh sub-folder name under the folder that all executors share.
 
