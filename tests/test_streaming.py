@@ -207,6 +207,20 @@ def test_changelog(spark, folder):
         (0, "A", "+I", 5), (0, "B", "+I", 7), (1, "A", "-U", 5), (1, "A", "+U", 8)}
 
 
+def test_current_state_of_a_change_stream(spark, folder):
+    schema = "k int, _op string, _lsn long, v double"
+    batches = [
+        [(1, "I", 1, 10.0), (2, "I", 2, 5.0), (3, "I", 3, 7.0)],
+        [(1, "U", 6, 12.0), (2, "D", 5, 5.0)],
+        [(2, "U", 4, 6.0), (1, "U", 7, 13.0)],
+    ]
+    typed = spark.createDataFrame([], schema).schema
+    path = _feed(spark, folder, batches, schema)
+    live = files.read_stream(spark, path, typed, max_files=1)
+    now = emit.keep_current(live, ["k"], "_lsn", "s", f"{folder}/out")
+    assert sorted((r.k, r.v) for r in now.collect()) == [(1, 13.0), (3, 7.0)]
+
+
 def test_several_streams_from_one_source(spark, folder):
     t = _live(spark, folder)
     out = emit.on_close_all(

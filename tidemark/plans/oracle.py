@@ -161,6 +161,11 @@ _CNT = f"SELECT symbol, (ts // {HOUR}) * {HOUR} AS bar_start, count(*) AS cnt FR
 # Both inputs of a stream join advance with the slower one.
 _SLOWER = f"(SELECT least((SELECT max(ts) FROM t), (SELECT max(ts) FROM {{r}})) - {DELAY})"
 
+_CURRENT = """
+SELECT customer_id, id, amount, op FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY lsn DESC) AS rn FROM c)
+WHERE rn = 1 AND op <> 'D'"""
+
 ORACLE = {
     "passthrough": t("\nSELECT event_id, symbol, price, volume, ts FROM t"),
     "projection_casts": t(f"""
@@ -229,10 +234,8 @@ SELECT event_id, ts, watermark, coalesce(ts < watermark, false) AS is_late FROM
     "cdc_log_rows": _with("""
 SELECT id, customer_id, amount, status, ts FROM c
 WHERE op IN ('I', 'U') AND customer_id <> 0""", CHANGES),
-    "customer_current": _with("""
-SELECT customer_id, id, amount, op FROM (
-  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY lsn DESC) AS rn FROM c)
-WHERE rn = 1 AND op <> 'D'""", CHANGES),
+    "customer_current": _with(_CURRENT, CHANGES),
+    "stream_current": _with(_CURRENT, CHANGES),
     "changelog_totals": _with(f"""
 , a AS ({_totals()}),
 b AS ({_totals("op IN ('I', 'U') AND ts < epoch_ms(TIMESTAMP '1997-01-01')")}),

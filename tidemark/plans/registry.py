@@ -341,6 +341,11 @@ def stream_changes(s, d):
     )
 
 
+def stream_current(s, d):
+    now = emit.keep_current(_changes(s, d, stream=True), ["customer_id"], "_lsn", "stream_current")
+    return now.select("customer_id", "id", "amount", F.col("_op").alias("op"))
+
+
 def stream_session_updates(s, d):
     live = _live(tables.trades, s, d)
     updates = emit.on_update(
@@ -410,8 +415,10 @@ def stream_late(s, d):
 # --- sinks -------------------------------------------------------------------------
 
 def fanout(s, d):
+    """Trades as bus records, decoded, summarised per window, to two sinks."""
     folder = scratch(s, "fanout")
-    live = market.trade_summary(_live(tables.trades, s, d), BAR)
+    records = kafka_sink.encode_json(tables.trades(s, d, stream=True), "symbol", TRADES.names)
+    live = market.trade_summary(emit.watermark(kafka_source.decode_json(records), DELAY), BAR)
     emit.drain(s, lambda: foreach.fan_out(
         live,
         [
@@ -489,7 +496,7 @@ QUERIES = {f.__name__: f for f in [
     late_split, customer_totals, cdc_log_totals, cdc_log_rows, customer_current,
     changelog_totals, json_encode, json_decode, json_field, stream_tumble, stream_hop,
     stream_session, stream_having, stream_cascade, stream_match, stream_update, stream_totals,
-    stream_changes, stream_session_updates, stream_lag, stream_lead, stream_asof,
+    stream_changes, stream_current, stream_session_updates, stream_lag, stream_lead, stream_asof,
     stream_asof_quote, stream_lookup, stream_late, fanout, foreach_batch, append_ingest,
     table_sink_rows, fraud_detection, stream_detection,
 ]}

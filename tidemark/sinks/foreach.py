@@ -1,8 +1,20 @@
 """Fan-out to several sinks, and callbacks."""
 
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 
 
+@contextmanager
+def kept(batch):
+    """Hold a micro-batch while several steps read it."""
+    batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield batch
+    finally:
+        batch.unpersist()
+
+
 def table_target(path, fmt="parquet", transform=None):
     """A fan-out target that writes each micro-batch to its own sub-folder.
 
@@ -17,12 +29,9 @@ def table_target(path, fmt="parquet", transform=None):
 def fan_out(df, targets, checkpoint, mode="append", trigger=None, name=None):
     """Feed several targets from one stream; each micro-batch is computed once."""
     def each(batch, batch_id):
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+        with kept(batch):
             for target in targets:
                 target(batch, batch_id)
-        finally:
-            batch.unpersist()
     return for_each_batch(df, each, checkpoint, mode, trigger, name)
 
 

@@ -5,11 +5,11 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from ..functions.time import duration
-from ..operators.changelog import diff
 from ..schemas import EVENT_TIME
 from ..session import ROCKSDB, is_local, scratch
-from ..sinks.foreach import for_each_batch, table_target
+from ..sinks.foreach import for_each_batch, kept, table_target
 from ..sinks.tables import stream_to_table
+from .keyed import BUCKETS, KeyedTable, changes_of, newest, replace
 
 
 def watermark(df, delay, event_time=EVENT_TIME):
@@ -92,38 +92,52 @@ def final_rows(updates, keys):
     return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
-def emit_changes(df, keys, name, folder=None):
+def emit_changes(df, keys, name, folder=None, buckets=BUCKETS):
     """Changelog of an un-windowed aggregate: ``+I`` and ``-U``/``+U`` rows per micro-batch.
 
-    The update-mode batch holds only changed keys. It is compared with the keyed
-    result table of the batch before; the next version of that table is written
-    under the batch's id, so a repeated batch repeats the same changes.
+    The update-mode batch holds only changed keys. It is compared with the rows
+    it replaces in a keyed table, of which only the touched buckets are read
+    and rewritten.
     """
     spark = df.sparkSession
     folder = folder or scratch(spark, name)
-    schema = df.schema
+    keys = list(keys)
+    table = KeyedTable(f"{folder}/state", df.schema, keys, buckets)
 
     def each(batch, batch_id):
-        session = batch.sparkSession
-        if batch_id == 0:
-            before = session.createDataFrame([], schema)
-        else:
-            before = session.read.schema(schema).parquet(f"{folder}/state/v={batch_id - 1}")
-        old = before.join(batch.select(*keys), list(keys), "left_semi")
-        diff(old, batch, keys).write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
-        kept = before.join(batch.select(*keys), list(keys), "left_anti")
-        kept.unionByName(batch).write.mode("overwrite").parquet(f"{folder}/state/v={batch_id}")
+        with kept(batch):
+            before = table.update(batch, batch_id, replace(keys))
+            changes_of(before, batch, keys).write.mode("overwrite").parquet(
+                f"{folder}/data/batch_id={batch_id}")
 
     drain(spark, lambda: for_each_batch(df, each, f"{folder}/checkpoint", "update"))
-    keyed = [schema[k] for k in keys]
-    vals = [f for f in schema.fields if f.name not in keys]
-    out = type(schema)(keyed).add("change", "string")
-    for f in vals:
-        out = out.add(f.name, f.dataType)
+    out = type(df.schema)([df.schema[k] for k in keys]).add("change", "string")
+    for f in df.schema.fields:
+        if f.name not in keys:
+            out = out.add(f.name, f.dataType)
     return spark.read.schema(out.add("batch_id", "long")).parquet(f"{folder}/data")
 
 
+def keep_current(changes, keys, order, name, folder=None, op="_op", deleted=("D",),
+                 buckets=BUCKETS):
+    """Current state of a change stream: newest row per key, deleted keys left out.
+
+    Deletes stay in the keyed table as markers, so an older change that arrives
+    later does not bring its row back.
+    """
+    spark = changes.sparkSession
+    folder = folder or scratch(spark, name)
+    table = KeyedTable(f"{folder}/state", changes.schema, keys, buckets)
+
+    def each(batch, batch_id):
+        with kept(batch):
+            table.update(batch, batch_id, newest(list(keys), order))
+
+    drain(spark, lambda: for_each_batch(changes, each, f"{folder}/checkpoint"))
+    return table.read(spark).where(~F.col(op).isin(*deleted))
+
+
 __all__ = [
-    "drain", "emit_changes", "final_rows", "on_close", "on_close_all", "on_update",
+    "drain", "emit_changes", "final_rows", "keep_current", "on_close", "on_close_all", "on_update",
     "stream_settings", "watermark",
 ]

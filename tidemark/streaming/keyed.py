@@ -1,0 +1,83 @@
+"""A keyed result table that micro-batches update in the shared folder."""
+
+from pyspark.sql import functions as F, types as T
+
+from ..operators.changelog import diff
+
+BUCKETS = 64
+MANIFEST = T.StructType([
+    T.StructField("bucket", T.LongType()), T.StructField("version", T.LongType()),
+])
+
+
+class KeyedTable:
+    """Rows by key, in hash buckets; a batch rewrites only the buckets it touches.
+
+    Each batch writes under its own id and reads what the batch before it left,
+    so a repeated batch gives the same result. The manifest lists the newest
+    version of each bucket and never has more rows than ``buckets``.
+    """
+
+    def __init__(self, folder, schema, keys, buckets=BUCKETS):
+        self.folder, self.schema, self.keys, self.buckets = folder, schema, list(keys), buckets
+
+    def _mark(self, df):
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)))
+
+    def _versions(self, spark, batch_id):
+        if batch_id < 0:
+            return {}
+        path = f"{self.folder}/manifest/v={batch_id}"
+        return {r.bucket: r.version for r in spark.read.schema(MANIFEST).parquet(path).collect()}
+
+    def _read(self, spark, versions):
+        paths = [f"{self.folder}/rows/v={v}/bucket={b}" for b, v in versions.items()]
+        if not paths:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(*paths)
+
+    def update(self, batch, batch_id, merge):
+        """Apply ``merge(before, batch) -> after`` to the buckets of the batch; returns ``before``.
+
+        ``after`` must keep every key of ``before``.
+        """
+        spark = batch.sparkSession
+        versions = self._versions(spark, batch_id - 1)
+        touched = [r.bucket for r in self._mark(batch).select("bucket").distinct().collect()]
+        before = self._read(spark, {b: versions[b] for b in touched if b in versions})
+        after = self._mark(merge(before, batch)).repartition("bucket")
+        after.write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{self.folder}/rows/v={batch_id}"
+        )
+        versions.update({b: batch_id for b in touched})
+        spark.createDataFrame(list(versions.items()), MANIFEST).coalesce(1).write.mode(
+            "overwrite").parquet(f"{self.folder}/manifest/v={batch_id}")
+        return before
+
+    def read(self, spark):
+        """The table as the newest batch left it."""
+        written = spark.read.parquet(f"{self.folder}/manifest")
+        return self._read(spark, self._versions(spark, written.agg(F.max("v")).first()[0]))
+
+
+def replace(keys):
+    """Merge in which a batch row replaces the row of its key."""
+    def merge(before, batch):
+        return before.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch)
+    return merge
+
+
+def newest(keys, order):
+    """Merge that keeps the row with the largest ``order`` per key."""
+    def merge(before, batch):
+        rows = before.unionByName(batch)
+        rest = [c for c in rows.columns if c not in keys]
+        top = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_v"))
+        return top.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest]).select(*rows.columns)
+    return merge
+
+
+def changes_of(before, batch, keys):
+    """Changes a batch of new results makes to the table rows it replaces."""
+    old = before.join(batch.select(*keys), list(keys), "left_semi")
+    return diff(old, batch, keys)
