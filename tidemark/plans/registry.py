@@ -7,10 +7,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions import json_codec, measures as M, sql as sql_functions
+from ..functions import json_codec, sql as sql_functions
 from ..operators import joins, late, ranking
 from ..operators.changelog import diff
-from ..schemas import CDC_ORDERS, TRADES
+from ..schemas import TRADES
 from ..session import scratch
 from ..sinks import foreach, kafka as kafka_sink, tables as table_sink
 from ..sources import cdc as cdc_source, files, kafka as kafka_source, tables

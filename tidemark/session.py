@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local = {}
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -52,6 +53,6 @@ def scratch(spark, name):
     if not base:
         if not is_local(spark):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set(CHECKPOINT_CONF, base)
+        base = _local.get("folder") or tempfile.mkdtemp(prefix="tidemark-")
+        _local["folder"] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
 from ..functions.time import with_event_time
 from ..schemas import TIME
@@ -76,8 +76,6 @@ def append(spark, rows, path, schema, fmt="parquet"):
     observed during the write, so the rows are read once.
     """
     df = rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows)
-    from pyspark.sql import Observation
-
     seen = Observation()
     checked = require(align(df, schema), schema).observe(seen, F.count(F.lit(1)).alias("rows"))
     checked.write.mode("append").format(fmt).save(path)
