@@ -1,0 +1,25 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+from pyspark.sql import types as T  # noqa: E402
+
+DOCS = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+    T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
+    T.StructField("n_chars", T.LongType()),
+])
+
+
+@pytest.fixture(scope="session")
+def frame(spark):
+    """Documents with the columns of the given table, from (id, text) pairs."""
+
+    def make(rows, parts=3):
+        full = [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows]
+        return spark.createDataFrame(full, DOCS).repartition(parts)
+
+    return make
