@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, tokencount
+from . import decontam, neardup, tokencount
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,8 +21,12 @@ def op7_token_counts(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_near_duplicates(spark, sf_dir):
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_decontamination, op7_token_counts)
+    f.__name__: f for f in (op1_decontamination, op7_token_counts, op9_near_duplicates)
 }
 
 ORACLE = {}
