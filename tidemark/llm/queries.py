@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, tokencount
+from . import codec, decontam, neardup, tokencount
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,8 +25,12 @@ def op9_near_duplicates(spark, sf_dir):
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark, sf_dir):
+    return codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_decontamination, op7_token_counts, op9_near_duplicates)
+    f.__name__: f for f in (op1_decontamination, op7_token_counts, op9_near_duplicates, op10_bpe)
 }
 
 ORACLE = {}
