@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import codec, decontam, neardup, tokencount
+from . import codec, decontam, lm, neardup, tokencount
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,8 +29,14 @@ def op10_bpe(spark, sf_dir):
     return codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_language_model(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_decontamination, op7_token_counts, op9_near_duplicates, op10_bpe)
+    f.__name__: f for f in (
+        op1_decontamination, op6_language_model, op7_token_counts, op9_near_duplicates, op10_bpe,
+    )
 }
 
 ORACLE = {}
