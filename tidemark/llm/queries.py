@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import codec, decontam, lm, neardup, tokencount
+from . import codec, decontam, lm, neardup, tokencount, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,10 +33,28 @@ def op6_language_model(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark, sf_dir):
+    folder = warc.write(table(spark, sf_dir, "pages"))
+    return warc.fields(warc.read(spark, folder))
+
+
 QUERIES = {
     f.__name__: f for f in (
-        op1_decontamination, op6_language_model, op7_token_counts, op9_near_duplicates, op10_bpe,
+        op1_decontamination, op6_language_model, op7_token_counts, op8_warc, op9_near_duplicates, op10_bpe,
     )
 }
 
-ORACLE = {}
+ORACLE = {
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (
+            SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+                   min(page_id) OVER (PARTITION BY html) AS head
+            FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> head THEN head END AS refers_to
+        FROM d
+    """,
+}
