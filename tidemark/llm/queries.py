@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import codec, decontam, lm, neardup, pii, tokencount, warc
+from . import chunking, codec, decontam, licenses, lm, neardup, pii, tokencount, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,6 +29,14 @@ def op10_bpe(spark, sf_dir):
     return codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_fingerprints(spark, sf_dir):
+    return chunking.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark, sf_dir):
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
 
@@ -44,7 +52,7 @@ def op8_warc(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_decontamination, op5_personal_data, op6_language_model, op7_token_counts, op8_warc, op9_near_duplicates, op10_bpe,
+        op1_decontamination, op2_licenses, op3_fingerprints, op5_personal_data, op6_language_model, op7_token_counts, op8_warc, op9_near_duplicates, op10_bpe,
     )
 }
 
