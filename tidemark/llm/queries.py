@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chunking, codec, decontam, licenses, lm, neardup, pii, tokencount, warc
+from . import chunking, codec, decontam, licenses, lm, neardup, pii, quality, tokencount, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -37,6 +37,12 @@ def op3_fingerprints(spark, sf_dir):
     return chunking.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_personal_data(spark, sf_dir):
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
 
@@ -52,7 +58,7 @@ def op8_warc(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_decontamination, op2_licenses, op3_fingerprints, op5_personal_data, op6_language_model, op7_token_counts, op8_warc, op9_near_duplicates, op10_bpe,
+        op1_decontamination, op2_licenses, op3_fingerprints, op4_quality, op5_personal_data, op6_language_model, op7_token_counts, op8_warc, op9_near_duplicates, op10_bpe,
     )
 }
 
