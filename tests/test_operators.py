@@ -115,8 +115,8 @@ def test_ohlc_tie_break(df, rows):
 
 
 def test_cascade_keeps_volume(df):
-    fine = market.ohlc_full(df, "1 second")
-    wide = market.ohlc_cascade(df, "1 second", "10 seconds")
+    fine = market.ohlc_full(df, "1 second", "ts")
+    wide = market.ohlc_cascade(df, "1 second", "10 seconds", "ts")
     assert fine.agg(F.sum("volume")).first() == wide.agg(F.sum("volume")).first()
 
 
@@ -152,6 +152,67 @@ def test_null_neighbour_value_is_not_the_default(spark):
     assert [r.p for r in got] == [-1.0, None]
 
 
+TIES = [
+    ("int", [None, None, 1, 2, 2, None, 5, 3, 1]), ("string", ["b", None, "a", "b", "", None, "z", "y", "b"]),
+    ("double", [None, 0.5, -1.0, 0.5, None, 2.0, 9.0, 1.0, 0.0]),
+]
+
+
+@pytest.mark.parametrize("kind,ties", TIES)
+@pytest.mark.parametrize("hot", [None, 1, 10_000])
+def test_neighbours_with_any_tiebreak(spark, kind, ties, hot):
+    times = [10, 20, 20, 20, 4_000, 4_000, 9_000, 9_000, 9_000]
+    rows = [("a", t, x, float(k)) for k, (t, x) in enumerate(zip(times, ties))]
+    df = spark.createDataFrame(rows, f"symbol string, ts long, tie {kind}, price double").repartition(3)
+    order = ["ts", "tie"]
+    for step, flat in ((analytic.lag, analytic.lag_window), (analytic.lead, analytic.lead_window)):
+        got = step(df, ["symbol"], "ts", "near", tiebreak="tie", default=-1, segment=1_000, hot_rows=hot)
+        want = flat(df, ["symbol"], order, "ts", "near", 1, -1)
+        assert sorted((r.ts, repr(r.tie), r.near) for r in got.collect()) == sorted((r.ts, repr(r.tie), r.near) for r in want.collect())
+
+
+@pytest.mark.parametrize("hot", [None, 1, 10_000])
+def test_neighbours_without_a_tiebreak_lose_no_value(spark, hot):
+    rows = [("a", t, float(p)) for t, p in [(10, 3), (10, 1), (10, 2), (5_000, 9), (5_000, 8), (9_999, 4)]]
+    df = spark.createDataFrame(rows, "symbol string, ts long, price double").repartition(3)
+    got = analytic.lag(df, ["symbol"], "price", "p", default=-1.0, segment=1_000, hot_rows=hot)
+    assert sorted((r.price, r.p) for r in got.collect()) == [
+        (1.0, -1.0), (2.0, 1.0), (3.0, 2.0), (4.0, 9.0), (8.0, 3.0), (9.0, 8.0)]
+
+
+@pytest.mark.parametrize("kind,ties", TIES)
+def test_asof_with_any_tiebreak(spark, kind, ties):
+    right = spark.createDataFrame(
+        [("a", 100 * (k // 5), x, k) for k, x in enumerate(ties)], f"symbol string, ts long, tie {kind}, w int").repartition(3)
+    left = spark.createDataFrame([("a", 50, 1), ("a", 100, 2), ("a", 900_000_000, 3)], "symbol string, ts long, v int")
+
+    def best(part):
+        key = lambda k: (ties[k] is not None, ties[k] if ties[k] is not None else 0 if kind != "string" else "", k)
+        return max(part, key=key)
+
+    want = {1: best(range(5)), 2: best(range(5, 9)), 3: best(range(5, 9))}
+    for form in (joins.asof_join, joins.asof_window):
+        got = form(left, right, ["symbol"], ["w"], tiebreak="tie").collect()
+        assert {r.v: r.w for r in got} == want
+
+
+def test_latest_comes_from_one_row(spark):
+    df = spark.createDataFrame([("a", 1, 5.0, 1), ("a", 7, 3.0, 9), ("a", 7, 4.0, 2)], "k string, ts long, p double, q int")
+    assert [tuple(r) for r in ranking.latest_by_key(df, ["k"], ["p", "q"], ["ts"]).collect()] == [("a", 4.0, 2)]
+
+
+def test_open_and_close_with_equal_times(spark):
+    from tidemark.functions import measures as M
+
+    rows = [("a", 1_000, k, float(p)) for k, p in [(3, 30), (1, 10), (2, 20)]]
+    df = with_event_time(spark.createDataFrame(rows, "symbol string, ts long, id long, price double")).withColumn(
+        "seq", F.expr("CAST(CAST(ts AS DECIMAL(18,0)) * 10000000000000000000BD + id AS DECIMAL(38,0))"))
+    bars = windows.tumble_agg(df, ["symbol"], "5 seconds", M.ohlc("price", "seq"))
+    assert [(r["open"], r["close"]) for r in bars.collect()] == [(10.0, 30.0)]
+    plan = bars._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_hot_segments_are_cut(df):
     cut, levels, between = segments(df, ["symbol"], "ts", 10_000, "id", hot_rows=20)
     assert levels == ["_seg0", "_seg1", "_seg2"] and between == (0, 599)
@@ -199,15 +260,13 @@ def _asof(rows, right_rows, tolerance):
 
 @pytest.mark.parametrize("form,tolerance,how", [
     ("instants", None, "inner"), ("instants", None, "left"), ("instants", 0, "inner"),
-    ("instants", 50, "left"), ("instants", 1_000, "inner"), ("slots", None, "inner"),
-    ("slots", None, "left"), ("slots", 50, "left"), ("slots", 1_000, "inner"),
+    ("instants", 50, "left"), ("instants", 1_000, "inner"),
     ("window", None, "inner"), ("window", 1_000, "left"),
 ])
 def test_asof(df, right, rows, right_rows, tolerance, how, form):
     if form != "window":
         got = joins.asof_join(df, right, ["symbol"], ["rid", "bid"], tiebreak="rid",
-                              tolerance=tolerance, how=how, bucket=2_000,
-                              hot_rows=10 if form == "instants" else 10_000)
+                              tolerance=tolerance, how=how, bucket=2_000)
     else:
         got = joins.asof_window(df, right, ["symbol"], ["rid", "bid"], tiebreak="rid",
                                 tolerance=tolerance, how=how)
@@ -223,12 +282,11 @@ def test_asof_keeps_duplicate_left_rows(spark, right):
     assert joins.asof_join(left, right, ["symbol"], ["rid"], tiebreak="rid").count() == 5
 
 
-@pytest.mark.parametrize("hot", [None, 0])
-def test_asof_null_keys_match_nothing(spark, hot):
+def test_asof_null_keys_match_nothing(spark):
     cols = "symbol string, ts long, v int"
     left = spark.createDataFrame([(None, 5, 1), ("A", None, 2), ("A", 5, 3)], cols)
     right = spark.createDataFrame([(None, 1, 7), ("A", None, 8), ("A", 2, 9)], "symbol string, ts long, w int")
-    got = joins.asof_join(left, right, ["symbol"], ["w"], how="left", hot_rows=hot).collect()
+    got = joins.asof_join(left, right, ["symbol"], ["w"], how="left").collect()
     assert {r.v: r.w for r in got} == {1: None, 2: None, 3: 9}
 
 

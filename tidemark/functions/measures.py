@@ -139,8 +139,12 @@ def notional(price="price", volume="volume", name="notional"):
     return total(_col(price) * _col(volume).cast("double"), name)
 
 
-def ohlc(price="price", order="ts", volume=None):
-    """Open, high, low, close and, if asked, volume."""
+def ohlc(price, order, volume=None):
+    """Open, high, low, close and, if asked, volume.
+
+    ``order`` must tell all rows of a window apart, or open and close are not
+    defined; one number (such as ``seq`` of the given trades) keeps hash aggregation.
+    """
     bar = [
         opening(price, "open", order),
         highest(price, "high"),

@@ -22,6 +22,8 @@ def lag(df, keys, col, name, time="ts", tiebreak=None, offset=1, default=None,
         segment="1 hour", hot_rows=HOT_ROWS):
     """Value of the row ``offset`` rows earlier in (time, tiebreak) order, else ``default``.
 
+    Without a tiebreak the value itself orders the rows of one instant. Nulls come
+    first.
     The rows of a key are spread over time segments; the first row of a segment
     takes the last row of the nearest earlier segment.
     """
@@ -35,7 +37,8 @@ def lead(df, keys, col, name, time="ts", tiebreak=None, offset=1, default=None,
 
 
 def _neighbour(df, keys, col, name, time, tiebreak, offset, default, segment, hot_rows, step):
-    order = [time] + ([tiebreak] if tiebreak else [])
+    tiebreak = tiebreak or col
+    order = [time, tiebreak]
     width = interval_ms(segment)
     cut, levels, between = segments(df, keys, time, width, tiebreak, hot_rows)
     rank = rank_in_segment(time, tiebreak, width, between)

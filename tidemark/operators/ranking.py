@@ -19,9 +19,12 @@ def recent_n(df, n, order, keys=()):
 
 
 def latest_by_key(df, keys, cols, order):
-    """Newest value of each column per key, combined map-side."""
-    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    return df.groupBy(*keys).agg(*[F.max_by(c, rank).alias(c) for c in cols])
+    """The columns of the newest row per key, combined map-side; all come from one row.
+
+    Of rows that tie in ``order`` the one with the largest columns counts.
+    """
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order, *cols)).alias("_v"))
+    return newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
 def throughput(df, keys=(), size_ms=1000, ts="ts", name="rows", last=60):

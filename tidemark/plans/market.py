@@ -13,23 +13,23 @@ from ..operators import analytic, joins, windows
 SYMBOL = ["symbol"]
 
 
-def ohlc(trades, size, order="ts"):
+def ohlc(trades, size, order):
     return windows.tumble_agg(trades, SYMBOL, size, M.ohlc("price", order))
 
 
-def ohlc_full(trades, size, order="ts", keep_window=False):
+def ohlc_full(trades, size, order, keep_window=False):
     return windows.tumble_agg(
         trades, SYMBOL, size, M.ohlc("price", order, "volume"), keep_window=keep_window
     )
 
 
-def ohlc_cascade(trades, fine, coarse, order="ts"):
+def ohlc_cascade(trades, fine, coarse, order):
     """Coarse bars computed from fine bars."""
     bars = ohlc_full(trades, fine, order, keep_window=True)
     return windows.cascade_agg(bars, SYMBOL, coarse, M.roll_up_ohlc("bar_start"))
 
 
-def ohlc_volatility(trades, size, order="ts"):
+def ohlc_volatility(trades, size, order):
     return windows.tumble_agg(
         trades, SYMBOL, size,
         [*M.ohlc("price", order, "volume"), M.value_range("price", "price_range")],

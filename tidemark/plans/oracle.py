@@ -2,7 +2,7 @@
 
 HOUR = 3_600_000
 BAND = 600_000
-DELAY = 10_000
+DELAY, QUOTE_DELAY, ORDER_DELAY = 10_000, 1_200_000, 2_400_000
 
 TRADES = """
 t AS (
@@ -137,7 +137,7 @@ SELECT '{name}' AS stream, count(*) AS rows, CAST(sum({a}) AS BIGINT) AS volume_
         part("asof_match", "volume", "order_price", """
 SELECT t.ts, t.volume, o.price AS order_price
 FROM t ASOF JOIN ob o ON t.symbol = o.symbol AND t.ts >= o.ts""",
-             f"ts <= {_SLOWER.format(r='o')}"),
+             f"ts <= {_SLOWER.format(r='o', wait=ORDER_DELAY)}"),
     ]
     return t(ctes + "\n" + "\nUNION ALL".join(parts), ORDERS, _BEST_O)
 
@@ -159,7 +159,7 @@ SELECT symbol, (ts // {HOUR}) * {HOUR} AS bar_start, count(*) AS trade_count,
 FROM t GROUP BY 1, 2"""
 _CNT = f"SELECT symbol, (ts // {HOUR}) * {HOUR} AS bar_start, count(*) AS cnt FROM t GROUP BY 1, 2"
 # Both inputs of a stream join advance with the slower one.
-_SLOWER = f"(SELECT least((SELECT max(ts) FROM t), (SELECT max(ts) FROM {{r}})) - {DELAY})"
+_SLOWER = f"(SELECT least((SELECT max(ts) FROM t) - {DELAY}, (SELECT max(ts) FROM {{r}}) - {{wait}}))"
 
 _CURRENT = """
 SELECT customer_id, id, amount, op FROM (
@@ -175,7 +175,10 @@ SELECT event_id, symbol AS name, round(1e-7 + price * CAST(volume AS DOUBLE), 4)
 FROM t WHERE price >= 1.0 AND volume BETWEEN 10 AND 90"""),
     "side_filter": t("\nSELECT event_id, symbol, side FROM t WHERE symbol IN ('click', 'purchase')"),
     "tumble_ohlc": t(_bars(HOUR)),
-    "sql_tumble": t(_bars(HOUR)),
+    "sql_tumble": t(f"""
+SELECT (ts // {HOUR}) * {HOUR} AS hour_start, count(*) AS trades,
+       count(*) FILTER (WHERE side = 'buy') AS buys, max(volume) AS largest
+FROM t GROUP BY 1 HAVING count(*) > 1"""),
     "hop_volume": t(_hop(6 * HOUR, HOUR)),
     "session_burst": t(_sessions("symbol", 1_800_000)),
     "rapid_fire": t(_sessions("account_id", 1_800_000)),
@@ -221,8 +224,8 @@ WHERE rn <= 60"""),
     "source_metrics": t(f"""
 SELECT 'trades' AS source, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts,
        max(ts) - {DELAY} AS watermark FROM t
-UNION ALL SELECT 'quotes', count(*), min(ts), max(ts), max(ts) - {DELAY} FROM q
-UNION ALL SELECT 'orders', count(*), min(ts), max(ts), max(ts) - {DELAY} FROM o""",
+UNION ALL SELECT 'quotes', count(*), min(ts), max(ts), max(ts) - {QUOTE_DELAY} FROM q
+UNION ALL SELECT 'orders', count(*), min(ts), max(ts), max(ts) - {ORDER_DELAY} FROM o""",
                         QUOTES, ORDERS),
     "late_split": t("""
 , m AS (SELECT event_id, ts, max(ts) OVER (
@@ -262,7 +265,19 @@ SELECT symbol AS key, CAST(to_json({'event_id': event_id, 'symbol': symbol, 'pri
     "stream_match": t(_match("o.order_id, o.account_id, o.side", _SYMMETRIC), ORDERS),
     "stream_update": t(_bars(HOUR)),
     "stream_totals": _with(_totals(), CHANGES),
-    "stream_changes": _with(_totals(), CHANGES),
+    # A row for each customer and micro-batch: the new totals, and before them the old ones.
+    "stream_changes": _with(f"""
+, r AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) - min(o_orderkey) + 1 AS span FROM orders),
+b AS (SELECT c.customer_id, (c.lsn - r.lo) * 8 // r.span AS batch, count(*) AS n, sum(c.amount) AS s
+      FROM c, r WHERE c.op IN ('I', 'U') GROUP BY 1, 2),
+v AS (SELECT customer_id, batch, CAST(sum(n) OVER w AS BIGINT) AS total_orders, sum(s) OVER w AS total_spent
+      FROM b WINDOW w AS (PARTITION BY customer_id ORDER BY batch)),
+x AS (SELECT *, lead(batch) OVER w AS later, lag(batch) OVER w AS earlier FROM v
+      WINDOW w AS (PARTITION BY customer_id ORDER BY batch))
+SELECT customer_id, CASE WHEN earlier IS NULL THEN '+I' ELSE '+U' END AS change, total_orders,
+       round(1e-7 + total_spent, 4) AS total_spent FROM x
+UNION ALL
+SELECT customer_id, '-U', total_orders, round(1e-7 + total_spent, 4) FROM x WHERE later IS NOT NULL""", CHANGES),
     "stream_session_updates": t(_sessions("symbol", 1_800_000)),
     "stream_lag": t(f"""
 SELECT event_id, symbol, price, prev_price FROM (
@@ -275,15 +290,24 @@ SELECT event_id, symbol, price, next_price FROM (
     "stream_asof": t(f"""
 SELECT t.event_id, t.symbol, t.price, o.order_id, o.price AS order_price
 FROM t ASOF JOIN ob o ON t.symbol = o.symbol AND t.ts >= o.ts
-WHERE t.ts <= {_SLOWER.format(r='o')}""", ORDERS, _BEST_O),
+WHERE t.ts <= {_SLOWER.format(r='o', wait=ORDER_DELAY)}""", ORDERS, _BEST_O),
     "stream_asof_quote": t(f"""
 SELECT t.event_id, t.symbol, t.price, q.quote_id, round(1e-7 + q.bid, 4) AS bid, round(1e-7 + q.ask, 4) AS ask
 FROM t ASOF JOIN qb q ON t.symbol = q.symbol AND t.ts >= q.ts
-WHERE t.ts - q.ts <= {BAND} AND t.ts + 1 <= {_SLOWER.format(r='q')} - {BAND}""", QUOTES, _BEST_Q),
+WHERE t.ts - q.ts <= {BAND} AND t.ts + 1 <= {_SLOWER.format(r='q', wait=QUOTE_DELAY)} - {BAND}""", QUOTES, _BEST_Q),
     "stream_lookup": t("""
 SELECT t.event_id, t.account_id, c.c_name
 FROM t JOIN customer c ON t.account_id = 'ACCT-' || CAST(c.c_custkey AS VARCHAR)"""),
-    "stream_late": t(_wrap("\n" + _CNT, _closed(HOUR))),
+    # A micro-batch drops what belongs to windows that the watermark before the last one has closed.
+    "stream_late": t(f"""
+, a AS (SELECT *, (event_id * 37) % 1009 AS place FROM t),
+r AS (SELECT min(place) AS lo, max(place) - min(place) + 1 AS span FROM a),
+b AS (SELECT symbol, (ts // {HOUR}) * {HOUR} AS bar_start, a.ts, (place - r.lo) * 8 // r.span AS batch FROM a, r),
+m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)
+             - 259200000 AS mark FROM b GROUP BY 1)
+SELECT symbol, bar_start, count(*) AS cnt FROM b JOIN m USING (batch)
+WHERE mark IS NULL OR bar_start + {HOUR} > mark
+GROUP BY 1, 2 HAVING bar_start + {HOUR} <= (SELECT max(ts) - 259200000 FROM t)"""),
     "fanout": t(f"""
 , r AS (SELECT * FROM ({_SUMMARY}) WHERE {_closed(HOUR)})
 SELECT *, 'table' AS target FROM r UNION ALL SELECT *, 'topic' AS target FROM r"""),

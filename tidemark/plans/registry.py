@@ -22,7 +22,10 @@ BAR, WIDE_BAR = "1 hour", "6 hours"
 HOP_SIZE, HOP_SLIDE = "6 hours", "1 hour"
 GAP = "30 minutes"
 BAND = "10 minutes"
-DELAY = "10 seconds"
+# How far rows of a source may be behind the newest one: quotes and orders are dated
+# up to 17 and 33 minutes before they arrive.
+DELAYS = {tables.trades: "10 seconds", tables.quotes: "20 minutes", tables.orders: "40 minutes"}
+DELAY = DELAYS[tables.trades]
 LATENESS = "3 days"
 THRESHOLD, IMPOSSIBLE = 200, 99_999_999
 VERSION_CUT = "1997-01-01"
@@ -45,8 +48,8 @@ def _trades(s, d):
     return tables.trades(s, d)
 
 
-def _live(read, s, d, delay=DELAY):
-    return emit.watermark(read(s, d, stream=True), delay)
+def _live(read, s, d, delay=None, **arrival):
+    return emit.watermark(read(s, d, stream=True, **arrival), delay or DELAYS[read])
 
 
 # --- projections, filters, windows -------------------------------------------
@@ -82,10 +85,12 @@ def sql_tumble(s, d):
     sql_functions.register(s)
     _trades(s, d).createOrReplaceTempView("tidemark_trades")
     return s.sql("""
-        SELECT symbol, CAST(tumble(ts, INTERVAL '1' HOUR) AS BIGINT) AS bar_start,
-               min_by(price, seq) AS open, MAX(price) AS high, MIN(price) AS low,
-               max_by(price, seq) AS close, SUM(volume) AS volume
-        FROM tidemark_trades GROUP BY symbol, tumble(ts, INTERVAL '1' HOUR)
+        WITH cut AS (
+            SELECT CAST(tumble(ts, INTERVAL '1' HOUR) AS BIGINT) AS hour_start, side, volume
+            FROM tidemark_trades
+        )
+        SELECT hour_start, count(*) AS trades, count_if(side = 'buy') AS buys, max(volume) AS largest
+        FROM cut GROUP BY hour_start HAVING count(*) > 1
     """)
 
 
@@ -213,7 +218,7 @@ def throughput(s, d):
 
 def source_metrics(s, d):
     parts = [
-        metrics_of(read(s, d), name, DELAY)
+        metrics_of(read(s, d), name, DELAYS[read])
         for name, read in [
             ("trades", tables.trades), ("quotes", tables.quotes), ("orders", tables.orders),
         ]
@@ -334,11 +339,11 @@ def stream_totals(s, d):
 
 
 def stream_changes(s, d):
-    totals = cdc.customer_totals(_changes(s, d, stream=True))
-    log = emit.emit_changes(totals, ["customer_id"], "stream_changes")
-    return r4("total_spent")(log.where(F.col("change").isin("+I", "+U"))).select(
-        "customer_id", "total_orders", "total_spent"
-    )
+    """The whole changelog of running totals over several micro-batches."""
+    counted = _changes(s, d, stream=True).where(F.col("_op").isin(cdc.INSERT, cdc.UPDATE))
+    log = emit.emit_changes(
+        counted, ["customer_id"], {"total_orders": ("count", "id"), "total_spent": ("sum", "amount")}, "stream_changes")
+    return r4("total_spent")(log).select("customer_id", "change", "total_orders", "total_spent")
 
 
 def stream_current(s, d):
@@ -406,9 +411,12 @@ def stream_lookup(s, d):
     )
 
 
+SHUFFLED = "event_id * 37 % 1009"
+
+
 def stream_late(s, d):
-    """Metrics of a drained stream: rows in and rows kept in closed windows."""
-    live = _live(tables.trades, s, d)
+    """Windows of a stream whose rows arrive out of order by more than it waits: late rows are dropped."""
+    live = _live(tables.trades, s, d, LATENESS, order=SHUFFLED)
     return emit.on_close(market.window_counts(live, BAR), "stream_late")
 
 

@@ -44,27 +44,40 @@ def for_each_batch(df, fn, checkpoint, mode="append", trigger=None, name=None):
     return (writer.queryName(name) if name else writer).start()
 
 
+class Stopped(Exception):
+    """A row callback asked to stop."""
+
+
 class _RowCallback:
     def __init__(self, fn):
         self.fn = fn
-        self.more = True
 
     def open(self, partition_id, epoch_id):
-        self.more = True
         return True
 
     def process(self, row):
-        if self.more and self.fn(row) is False:
-            self.more = False
+        if self.fn(row) is False:
+            raise Stopped("the row callback returned False")
 
     def close(self, error):
         pass
 
 
 def for_each_row(df, fn, checkpoint, mode="append", trigger=None):
-    """Call ``fn(row)`` per result row on the executors; returning False skips the rest of the partition's batch."""
+    """Call ``fn(row)`` per result row on the executors.
+
+    Returning False stops the query before its micro-batch is committed, so no row
+    is lost: a query that is started again on the checkpoint gets the whole
+    micro-batch once more. ``stopped`` tells such an end from a failure.
+    """
     return (
         df.writeStream.outputMode(mode).foreach(_RowCallback(fn))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def stopped(query):
+    """Whether a row callback has stopped the query."""
+    error = query.exception()
+    return error is not None and Stopped.__name__ in str(error)

@@ -16,15 +16,6 @@ def stream_to_table(df, path, checkpoint, name=None, partition_by=(), trigger=No
     return writer.start(path)
 
 
-def lakehouse_format(spark):
-    """"delta" where its jar is on the class path, else "parquet"."""
-    try:
-        spark._jvm.java.lang.Class.forName("io.delta.sql.DeltaSparkSessionExtension")
-        return "delta"
-    except Exception:
-        return "parquet"
-
-
 def write_table(df, path, partition_by=(), mode="overwrite", fmt="parquet", files_per_partition=None):
     """Partitioned table.
 

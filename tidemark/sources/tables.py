@@ -1,10 +1,13 @@
 """The given tables as trades, quotes, orders and change logs."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F, types as T
 
 from ..functions import json_codec
 from ..functions.time import with_event_time
-from .files import read_batch, read_stream
+from ..session import scratch
+from .files import append, read_batch, read_stream
 
 _L, _I, _S, _D, _TS = (
     T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType(), T.TimestampType()
@@ -33,19 +36,47 @@ TABLES = {
 }
 
 
-def table(spark, folder, name, stream=False):
-    """A table that is one parquet file or a folder of them."""
-    path = f"{folder}/{name}.parquet"
+# The order in which a table's rows arrive on its stream, and in how many files.
+ARRIVAL = {"events": "event_id", "orders": "o_orderkey"}
+_batches = 8
+_arrived = {}
+
+
+def arrivals(spark, folder, name, batches=None, order=None):
+    """A folder with all rows of a table in ``batches`` appends, in arrival order; written once a session.
+
+    ``order`` is an integer SQL expression; append number b holds the b-th equal
+    part of its range.
+    """
+    order, batches = order or ARRIVAL[name], batches or _batches
+    key = (spark.sparkContext.applicationId, folder, name, batches, order)
+    if key not in _arrived:
+        rows, place = table(spark, folder, name), F.expr(order)
+        lo, hi = rows.agg(F.min(place), F.max(place)).first()
+        path = scratch(spark, f"arrivals-{name}")
+        for b in range(batches):
+            part = place.isNull() if lo is None else (
+                (place >= lo + -(-b * (hi - lo + 1) // batches)) & (place < lo + -(-(b + 1) * (hi - lo + 1) // batches)))
+            append(spark, rows.where(part), path, TABLES[name])
+        _arrived[key] = path
+    return _arrived[key]
+
+
+def table(spark, folder, name, stream=False, **arrival):
+    """A table that is one parquet file or a folder of them; its stream takes a file at a time."""
     if stream:
-        # A stream takes a single file only through a pattern.
-        return read_stream(spark, f"{path}*", TABLES[name])
-    return read_batch(spark, path, TABLES[name])
+        return read_stream(spark, arrivals(spark, folder, name, **arrival), TABLES[name], max_files=1)
+    return read_batch(spark, f"{folder}/{name}.parquet", TABLES[name])
+
 
+# Room for any 64-bit id behind the microseconds, so that order values never tie.
+_ID_ROOM = Decimal(10**19)
 
-def trades(spark, folder, stream=False):
-    """Every event as a trade. ``seq`` is the event time in microseconds, its arrival order."""
+
+def trades(spark, folder, stream=False, **arrival):
+    """Every event as a trade. ``seq`` orders by event time and id, as one number."""
     return with_event_time(
-        table(spark, folder, "events", stream).select(
+        table(spark, folder, "events", stream, **arrival).select(
             "event_id",
             F.concat(F.lit("ACCT-"), F.col("user_id").cast("string")).alias("account_id"),
             F.col("event_type").alias("symbol"),
@@ -54,7 +85,7 @@ def trades(spark, folder, stream=False):
             json_codec.field("props", "$.k", "long").alias("volume"),
             F.concat(F.lit("ORD-"), F.col("event_id").cast("string")).alias("order_ref"),
             F.unix_millis("ts").alias("ts"),
-            F.unix_micros("ts").alias("seq"),
+            (F.unix_micros("ts").cast("decimal(18,0)") * F.lit(_ID_ROOM) + F.col("event_id")).cast("decimal(38,0)").alias("seq"),
         )
     )
 
@@ -65,9 +96,9 @@ ORDER_LEAD_MS = 20_000
 HALF_SPREAD = 0.0005
 
 
-def quotes(spark, folder, stream=False):
+def quotes(spark, folder, stream=False, **arrival):
     """Every event as a quote around its value, dated up to 17 minutes before the trade."""
-    t = trades(spark, folder, stream)
+    t = trades(spark, folder, stream, **arrival)
     return with_event_time(t.select(
         F.col("event_id").alias("quote_id"), "symbol",
         (F.col("price") * F.lit(1 - HALF_SPREAD)).alias("bid"),
@@ -76,9 +107,9 @@ def quotes(spark, folder, stream=False):
     ))
 
 
-def orders(spark, folder, stream=False):
+def orders(spark, folder, stream=False, **arrival):
     """Every event as an order, dated up to 33 minutes before the trade."""
-    t = trades(spark, folder, stream)
+    t = trades(spark, folder, stream, **arrival)
     return with_event_time(t.select(
         F.col("event_id").alias("order_no"), F.col("order_ref").alias("order_id"),
         "account_id", "symbol", "side", F.col("volume").alias("quantity"), "price",
@@ -86,9 +117,9 @@ def orders(spark, folder, stream=False):
     ))
 
 
-def order_envelopes(spark, folder, stream=False):
+def order_envelopes(spark, folder, stream=False, **arrival):
     """The orders table as a change log: open rows insert, filled update, pending delete."""
-    o = table(spark, folder, "orders", stream)
+    o = table(spark, folder, "orders", stream, **arrival)
     image = F.to_json(F.struct(
         F.col("o_orderkey").cast("int").alias("id"),
         F.col("o_custkey").cast("int").alias("customer_id"),

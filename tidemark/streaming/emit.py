@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.time import duration
 from ..schemas import EVENT_TIME
 from ..session import ROCKSDB, is_local, scratch
-from ..sinks.foreach import for_each_batch, kept, table_target
+from ..sinks.foreach import for_each_batch, table_target
 from ..sinks.tables import stream_to_table
-from .keyed import BUCKETS, KeyedTable, changes_of, newest, replace
+from .stateful import stream_changes
 
 
 def watermark(df, delay, event_time=EVENT_TIME):
@@ -52,36 +52,57 @@ def drain(spark, start):
     return query
 
 
-def on_close(df, name, folder=None):
-    """Emit each window once, when the watermark passes its end; returns the result table."""
+def on_close(df, name, folder=None, trigger=None):
+    """Emit each window once, when the watermark passes its end; returns the result table.
+
+    With a ``trigger`` (such as ``{"processingTime": "1 second"}``) the query goes on and
+    its handle is returned; the results are in ``folder``/data.
+    """
     spark = df.sparkSession
     folder = folder or scratch(spark, name)
-    drain(spark, lambda: stream_to_table(df, f"{folder}/data", f"{folder}/checkpoint"))
+    start = lambda: stream_to_table(df, f"{folder}/data", f"{folder}/checkpoint", trigger=trigger)
+    if trigger:
+        with stream_settings(spark):
+            return start()
+    drain(spark, start)
     return spark.read.schema(df.schema).parquet(f"{folder}/data")
 
 
 def on_close_all(streams, name, folder=None):
-    """Several streams at once, each its own query and checkpoint; returns result tables by name."""
+    """Several streams at once, each its own query and checkpoint; returns result tables by name.
+
+    If one fails, the others are stopped.
+    """
     spark = next(iter(streams.values())).sparkSession
     folder = folder or scratch(spark, name)
+    running = []
     with stream_settings(spark):
-        running = [
-            stream_to_table(df, f"{folder}/{n}/data", f"{folder}/{n}/checkpoint")
-            for n, df in streams.items()
-        ]
-        for query in running:
-            query.awaitTermination()
+        try:
+            for n, df in streams.items():
+                running.append(stream_to_table(df, f"{folder}/{n}/data", f"{folder}/{n}/checkpoint"))
+            for query in running:
+                query.awaitTermination()
+        finally:
+            for query in running:
+                query.stop()
     return {n: spark.read.schema(df.schema).parquet(f"{folder}/{n}/data") for n, df in streams.items()}
 
 
-def on_update(df, name, folder=None, complete=False):
-    """Emit a row whenever a result changes; returns all emissions with their ``batch_id``."""
+def on_update(df, name, folder=None, complete=False, trigger=None):
+    """Emit a row whenever a result changes; returns all emissions with their ``batch_id``.
+
+    With a ``trigger`` the query goes on and its handle is returned.
+    """
     spark = df.sparkSession
     folder = folder or scratch(spark, name)
     mode = "complete" if complete else "update"
-    drain(spark, lambda: for_each_batch(
-        df, table_target(f"{folder}/data"), f"{folder}/checkpoint", mode
-    ))
+    # So that a stream without rows has a table too.
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{folder}/data/batch_id=-1")
+    start = lambda: for_each_batch(df, table_target(f"{folder}/data"), f"{folder}/checkpoint", mode, trigger)
+    if trigger:
+        with stream_settings(spark):
+            return start()
+    drain(spark, start)
     return spark.read.schema(df.schema.add("batch_id", "long")).parquet(f"{folder}/data")
 
 
@@ -92,49 +113,25 @@ def final_rows(updates, keys):
     return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
-def emit_changes(df, keys, name, folder=None, buckets=BUCKETS):
-    """Changelog of an un-windowed aggregate: ``+I`` and ``-U``/``+U`` rows per micro-batch.
+def emit_changes(df, keys, totals, name, folder=None):
+    """Changelog of running totals by key: ``+I``, then ``-U`` and ``+U``, for each micro-batch that changes a key.
 
-    The update-mode batch holds only changed keys. It is compared with the rows
-    it replaces in a keyed table, of which only the touched buckets are read
-    and rewritten.
+    ``totals`` maps a result to ("count" | "sum" | "min" | "max", column). A key's
+    last totals are its state.
     """
-    spark = df.sparkSession
-    folder = folder or scratch(spark, name)
-    keys = list(keys)
-    table = KeyedTable(f"{folder}/state", df.schema, keys, buckets)
-
-    def each(batch, batch_id):
-        with kept(batch):
-            before = table.update(batch, batch_id, replace(keys))
-            changes_of(before, batch, keys).write.mode("overwrite").parquet(
-                f"{folder}/data/batch_id={batch_id}")
-
-    drain(spark, lambda: for_each_batch(df, each, f"{folder}/checkpoint", "update"))
-    out = type(df.schema)([df.schema[k] for k in keys]).add("change", "string")
-    for f in df.schema.fields:
-        if f.name not in keys:
-            out = out.add(f.name, f.dataType)
-    return spark.read.schema(out.add("batch_id", "long")).parquet(f"{folder}/data")
+    return on_update(stream_changes(df, keys, totals), name, folder)
 
 
-def keep_current(changes, keys, order, name, folder=None, op="_op", deleted=("D",),
-                 buckets=BUCKETS):
+def keep_current(changes, keys, order, name, folder=None, op="_op", deleted=("D",)):
     """Current state of a change stream: newest row per key, deleted keys left out.
 
-    Deletes stay in the keyed table as markers, so an older change that arrives
-    later does not bring its row back.
+    A delete stays in the state, so an older change that arrives later does not
+    bring its row back.
     """
-    spark = changes.sparkSession
-    folder = folder or scratch(spark, name)
-    table = KeyedTable(f"{folder}/state", changes.schema, keys, buckets)
-
-    def each(batch, batch_id):
-        with kept(batch):
-            table.update(batch, batch_id, newest(list(keys), order))
-
-    drain(spark, lambda: for_each_batch(changes, each, f"{folder}/checkpoint"))
-    return table.read(spark).where(~F.col(op).isin(*deleted))
+    rest = [c for c in changes.columns if c not in keys]
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_v"))
+    now = final_rows(on_update(newest, name, folder), list(keys))
+    return now.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest]).where(~F.col(op).isin(*deleted))
 
 
 __all__ = [

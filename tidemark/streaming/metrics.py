@@ -42,23 +42,21 @@ def _progress_rows(progress):
         )
 
 
-def progress_table(spark, query):
-    """Recent progress of one query as a DataFrame, one row per micro-batch and source."""
-    rows = [r for p in query.recentProgress for r in _progress_rows(p)]
-    return spark.createDataFrame(rows, PROGRESS)
-
-
 class ProgressLog(StreamingQueryListener):
-    """Keeps the newest progress rows of all queries of a session."""
+    """Appends the progress of all queries of a session to a table in a shared folder.
+
+    One row per micro-batch and source; nothing is dropped.
+    """
 
-    def __init__(self, keep=1000):
-        self.rows, self.keep = [], keep
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
-        self.rows = (self.rows + list(_progress_rows(event.progress)))[-self.keep:]
+        rows = self.spark.createDataFrame(list(_progress_rows(event.progress)), PROGRESS)
+        rows.coalesce(1).write.mode("append").parquet(self.folder)
 
     def onQueryIdle(self, event):
         pass
@@ -66,5 +64,5 @@ class ProgressLog(StreamingQueryListener):
     def onQueryTerminated(self, event):
         pass
 
-    def table(self, spark):
-        return spark.createDataFrame(self.rows, PROGRESS)
+    def table(self):
+        return self.spark.read.schema(PROGRESS).parquet(self.folder)
