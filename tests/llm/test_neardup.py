@@ -65,7 +65,7 @@ def made(seed=5, groups=12):
     return docs
 
 
-@pytest.mark.parametrize("star_rounds", [4, 0])
+@pytest.mark.parametrize("star_rounds", [1, 0, 2])
 def test_equals_all_pairs(spark, frame, star_rounds):
     docs = made()
     got = neardup.groups(frame(docs).withColumn("node", F.lit(1)).withColumn("component", F.lit("x")), star_rounds=star_rounds)

@@ -5,10 +5,14 @@ ranges is its signature, and an empty bin borrows from the first filled bin of a
 order of its own. Bands of ``rows`` bins make bucket keys.
 
 Documents of equal shingle sets are one class. In a bucket a star links all
-classes to one centre; links are confirmed on whole sets, and components grow.
-After a few rounds of other centres, buckets that still hold more than one
+classes to one centre, the class that meets most others; links are confirmed on
+whole sets, and components grow. Buckets that then still hold more than one
 component get the pairs across components that no star has joined, so no link
 between components is lost to the star shape.
+
+A class also carries the parity of its shingles in 1024 cells. Cells that differ
+between two classes are a lower bound of their sets' difference, so pairs that
+surely are not alike are never made.
 """
 
 import numpy as np
@@ -20,7 +24,8 @@ from .common import col, parts, slices, squeeze, store, texts, tokens, unsqueeze
 from .components import components
 
 BANDS, ROWS = 42, 6
-STAR_ROUNDS = 4
+STAR_ROUNDS = 1
+CELLS = 1024
 CENTRE_MEMBERS = 500
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -82,7 +87,7 @@ class Signer:
 
 _SIGNED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
-    T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
+    T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType())),
 ])
 _PACKED = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("packed", T.BinaryType())])
 
@@ -91,8 +96,13 @@ def _digest(shingles):
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else b""
 
 
+def _parity(shingles):
+    cell = (shingles & np.uint64(CELLS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=CELLS) & 1).view(np.int64)
+
+
 def signatures(docs, size, bands, rows):
-    """Set size, set digest and band keys of each row of ``texts``."""
+    """Set size, set digest, band keys and parities of each row of ``texts``."""
 
     def sign(batches):
         shingle, signer = Shingler(size), Signer(bands, rows)
@@ -105,6 +115,7 @@ def signatures(docs, size, bands, rows):
                     piece.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys), pa.int64())),
+                    pa.array([_parity(s) for s in sets], pa.list_(pa.int64())),
                 ], names=_SIGNED.names)
 
     return docs.mapInArrow(sign, _SIGNED)
@@ -207,40 +218,43 @@ def groups(docs, id_col="doc_id", text_col="text", size=3, percent=85, bands=BAN
     # One class for all documents of a set, named by the set's digest.
     classes = store(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("digest").alias("node"))
-        .agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
-        .select("node", F.col("r.doc_id").alias("doc_id"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")),
+        .agg(F.min(F.struct("doc_id", "n_shingles", "bands", "parity")).alias("r"))
+        .select("node", "r.doc_id", F.col("r.n_shingles").alias("n"), "r.bands", "r.parity"),
         "classes",
     )
     entries = classes.select("node", "n", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    members = store(entries.join(shared, "key").select("key", "node", "n"), "members")
+    shared = entries.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    members = store(entries.join(shared, "key").select("key", "node", "n", "times"), "members")
+    # How many others a class meets, the same in all of its buckets.
+    met = members.groupBy("node").agg(F.sum("times").alias("met"))
+    members = store(members.drop("times").join(met, "node"), "members")
     wanted = members.select("node").distinct().join(classes.select("node", "doc_id"), "node")
     packed = store(_packed(named, wanted, size), "packed")
     known = None
-    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    both = F.col("na") + F.col("nb")
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    apart = sum((F.bit_count(F.get("pa", F.lit(k)).bitwiseXOR(F.get("pb", F.lit(k)))) for k in range(CELLS // 64)), F.lit(0))
+    near = 100 * (both - apart) >= percent * (both + apart)
+    side = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")]
     for turn in range(star_rounds + 1):
         at = members
         if known is not None:
             at = at.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         else:
             at = at.withColumn("component", F.col("node"))
-        # Centres are drawn anew each turn, alike in all buckets.
-        first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")
-        open_ = at.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(first).alias("c"), F.count("*").alias("times"),
-        ).where("lo < hi")
+        open_ = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("met", "node")).alias("c"))
+        open_ = open_.where("lo < hi").select("key", F.col("c.node").alias("centre"))
+        rest = at.join(open_, "key")
         if turn < star_rounds:
-            pairs = at.join(open_.select("key", "c"), "key").where("component <> c.component").select(
-                F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
-        else:
-            rest = at.join(open_.select("key"), "key").select("key", "node", "n", "component")
             rest = store(rest, "rest")
-            other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = rest.join(other, "key").where("component < cb").select(
-                F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb")
-        pairs = store(pairs.where(alike).select("a", "b").distinct(), "pairs")
+            first = rest.where("node = centre").select("key", *side("a"))
+            pairs = first.join(rest.select("key", *side("b")), "key").where((F.col("ca") != F.col("cb")) & sized)
+        else:
+            rest = store(rest.join(classes.select("node", "parity"), "node"), "rest")
+            first, other = (rest.select("key", *side(x), F.col("parity").alias(f"p{x}")) for x in "ab")
+            pairs = first.join(other, "key").where((F.col("ca") < F.col("cb")) & sized & near)
+        pairs = store(pairs.select("a", "b").distinct(), "pairs")
         if pairs.isEmpty():
-            # Other centres may still find pairs; only the last turn looks at all.
             continue
         links = store(confirm(pairs, packed, size, percent), "confirmed")
         if not links.isEmpty():
