@@ -14,7 +14,7 @@ def table(spark, folder, name):
 
 def op1_decontamination(spark, sf_dir):
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontam.report(found)
+    return decontam.report(found).drop("spans")
 
 
 def op7_token_counts(spark, sf_dir):
@@ -62,7 +62,53 @@ QUERIES = {
     )
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TOKENS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
 ORACLE = {
+    "op1_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+        k AS (
+            SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS phrase
+            FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0
+        ),
+        p AS (
+            SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+            FROM d, (SELECT DISTINCT n FROM k) AS sizes, unnest(range(1, len(w) - n + 2)) AS t(i)
+        ),
+        h AS (SELECT p.doc_id, p.i, p.n, k.item FROM p JOIN k ON p.n = k.n AND p.phrase = k.phrase),
+        c AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, unnest(range(0, n)) AS u(j) GROUP BY 1),
+        o AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1),
+        r AS (
+            SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+                   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256
+            FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
+        )
+        SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM r
+    """,
+    "op9_near_duplicates": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle
+            FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i) WHERE len(w) > 0
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        m AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+            FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ),
+        e AS (
+            SELECT x, y FROM m JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y
+            WHERE 100 * shared >= 85 * (a.n + b.n - shared)
+        ),
+        u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node),
+        c AS (SELECT node AS doc_id, min(root) AS component_id FROM r GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM c LEFT JOIN n USING (doc_id)
+    """,
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (
