@@ -68,14 +68,20 @@ def decode_log_lines(lines, value="value", schema=CDC_ORDERS):
     new_image = update & ~insert & text.contains(NEW_MARK)
     cells = F.when(new_image, F.substring_index(text, NEW_MARK, -1)).otherwise(text)
     rows = lines.where(text.contains(TABLE_MARK) & (insert | update)).select(cells.alias("_cells"))
-    out = rows.select(*[_cell(f.name, f.dataType).alias(f.name) for f in schema.fields])
+    found = lambda group: F.regexp_extract_all("_cells", F.lit(_CELL), F.lit(group))
+    # A generator, so that the line is read once and not once a field.
+    read = rows.select(F.explode(F.array(F.struct(found(1).alias("names"), found(2).alias("values")))).alias("_line"))
+    out = read.select(*[_cell(f.name, f.dataType).alias(f.name) for f in schema.fields])
     return out.where(F.col("customer_id") != 0)
 
 
+# A quoted value may hold blanks; a bare one ends at the next blank.
+_CELL = r"\s(\w+)\[[^\]]*\]:'?((?<=')[^']*|[^'\s]*)"
+
+
 def _cell(name, dtype):
-    # A quoted value may hold blanks; a bare one ends at the next blank.
-    value = r"((?<=')[^']*|[^'\s]*)"
-    raw = F.regexp_extract("_cells", rf"\s{name}\[[^\]]*\]:'?{value}", 1)
+    at = F.array_position("_line.names", name).cast("int") - 1
+    raw = F.coalesce(F.get("_line.values", at), F.lit(""))
     if isinstance(dtype, T.StringType):
         return raw
     return F.coalesce(raw.try_cast(dtype), F.lit(0).cast(dtype))
