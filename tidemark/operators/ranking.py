@@ -3,6 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from ..functions.time import align
+from ..session import pin
 
 
 def recent_n(df, n, order, keys=()):
@@ -36,21 +37,26 @@ def throughput(df, keys=(), size_ms=1000, ts="ts", name="rows", last=60):
 
 # Rank error of the bracketing sketch is rows / ACCURACY on either side.
 ACCURACY = 10_000
+# A bracket is cut into so many equal ranges of values, of which only one is ranked.
+RANGES = 1_000
+# Brackets are broadcast only if there are at most so many keys.
+BROADCAST_KEYS = 100_000
 
 
 def percentiles(df, keys, col, quantiles):
-    """Exact nearest-rank percentiles per key, one row per key.
+    """Exact nearest-rank percentiles of a numeric column per key, one row per key.
 
     ``quantiles`` maps result name to an integer percentage q; the value is the
     one at rank ``min(floor(n * q / 100), n - 1)`` counted from 0. Per key and
-    quantile a mergeable sketch brackets the rank; rows below the bracket are
-    only counted, and distinct values inside it are ranked by running count.
-    The bracket is ten times the sketch's error bound, so the result is exact.
+    quantile a mergeable sketch brackets the rank with ten times its error bound.
+    Rows below a bracket only add to one count, rows inside it to one count for
+    each range of values; a running count over the ranges finds the one that holds
+    the rank, and only its distinct values are ranked. A bracket that missed its
+    rank would fail the query.
     """
     if not keys:
         every = percentiles(df.withColumn("_all", F.lit(0)), ["_all"], col, quantiles)
         return every.drop("_all")
-    names = list(quantiles)
     margin = 10.0 / ACCURACY
     bounds = []
     for i, q in enumerate(quantiles.values()):
@@ -62,38 +68,41 @@ def percentiles(df, keys, col, quantiles):
             F.percentile_approx(col, hi, ACCURACY).alias(f"_hi{i}") if hi < 1
             else F.max(col).alias(f"_hi{i}"),
         ]
-    values = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    marks = df.groupBy(*keys).agg(F.count(col).alias("_n"), *bounds)
+    marks = pin(df.groupBy(*keys).agg(F.count(col).alias("_n"), *bounds))
     brackets = marks.select(
-        *keys, "_n",
+        *keys,
         F.explode(F.array(*[
-            F.struct(F.lit(n).alias("name"), F.lit(q).alias("q"),
+            F.struct(F.lit(n).alias("name"), F.least(F.floor(F.col("_n") * q / 100), F.col("_n") - 1).alias("rank"),
                      F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"))
             for i, (n, q) in enumerate(quantiles.items())
         ])).alias("_b"),
     )
-    joined = values.join(brackets, list(keys))
-    v = F.col(col)
-    # Values below a bracket collapse to one count per key and quantile.
-    folded = (
-        joined.where(v <= F.col("_b.hi"))
-        .groupBy(*keys, F.col("_b.name").alias("_name"),
-                 F.when(v >= F.col("_b.lo"), v).alias(col))
-        .agg(F.sum("_c").alias("_c"), F.max("_n").alias("_n"), F.max("_b.q").alias("_q"))
-    )
-    w = Window.partitionBy(*keys, "_name").orderBy(F.col(col).asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    rank = F.least(F.floor(F.col("_n") * F.col("_q") / 100), F.col("_n") - 1)
-    run = F.sum("_c").over(w)
-    hits = folded.withColumn("_run", run).where(
-        F.col(col).isNotNull() & (F.col("_run") > rank) & (F.col("_run") - F.col("_c") <= rank)
+    if marks.count() <= BROADCAST_KEYS:
+        brackets = F.broadcast(brackets)
+    v, lo, hi = F.col(col), F.col("_b.lo"), F.col("_b.hi")
+    width = hi.cast("double") - lo.cast("double")
+    place = F.when(width > 0, F.floor((v.cast("double") - lo.cast("double")) / width * RANGES)).otherwise(F.lit(0))
+    inside = v >= lo
+    counted = (
+        df.where(v.isNotNull()).select(*keys, col).join(brackets, list(keys)).where(v <= hi)
+        .groupBy(*keys, F.col("_b.name").alias("_name"), F.col("_b.rank").alias("_rank"),
+                 F.when(inside, place).otherwise(-1).cast("long").alias("_range"), F.when(inside, v).alias(col))
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    return hits.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, v)).alias(n) for n in names]
+    part = [*keys, "_name"]
+    run = lambda *by: F.sum("_c").over(
+        Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    holds = (F.col("_run") > F.col("_rank")) & (F.col("_run") - F.col("_c") <= F.col("_rank"))
+    ranges = counted.groupBy(*part, "_range").agg(F.sum("_c").alias("_c"), F.max("_rank").alias("_rank"))
+    hit = ranges.withColumn("_run", run(*part, "_range")).where(holds & (F.col("_range") >= 0)).select(
+        *part, "_range", (F.col("_run") - F.col("_c")).alias("_before"))
+    found = (
+        counted.join(hit, [*part, "_range"]).withColumn("_run", run(*part, col) + F.col("_before")).where(holds)
+        .groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, v)).alias(n) for n in quantiles])
     )
+    missed = F.raise_error(F.lit("a percentile's bracket missed its rank"))
+    return marks.where("_n > 0").select(*keys).join(found, list(keys), "left").select(
+        *keys, *[F.coalesce(F.col(n), missed.cast(df.schema[col].dataType)).alias(n) for n in quantiles])
 
 
 def percentiles_approx(df, keys, col, quantiles):
