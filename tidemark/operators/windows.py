@@ -32,16 +32,14 @@ def tumble_agg(df, keys, size, measures, start="bar_start", event_time=EVENT_TIM
 
 
 def hop_agg(df, keys, size, slide, measures, start="bar_start", event_time=EVENT_TIME,
-            panes=None, keep_window=False):
+            panes=True, keep_window=False):
     """One row per key and hopping window.
 
-    A raw row belongs to size/slide windows. With ``panes`` (the default for
-    batch input) rows are first aggregated to panes of gcd(size, slide), and
-    only panes are copied into their windows. A stream with ``panes`` needs
-    append mode, since it chains two stateful aggregations.
+    A raw row belongs to size/slide windows. With ``panes`` rows are first
+    aggregated to panes of gcd(size, slide), and only panes are copied into
+    their windows. A stream with ``panes`` needs append mode, since it chains two
+    stateful aggregations; give ``panes=False`` for update mode.
     """
-    if panes is None:
-        panes = not df.isStreaming
     if not panes:
         grouped = df.groupBy(*keys, hop(size, slide, event_time).alias("window"))
         return _finish(grouped.agg(*M.partials(measures)), keys, measures, start, keep_window)
@@ -120,12 +118,11 @@ def _session_cells(df, keys, gap, measures, start, end, event_time,
         .withColumn("_block", align("_cell", gap_us * cells_per_block))
     )
     pieces = _merge_runs(cells, [*keys, "_block"], gap_us, measures)
-    # Inner pieces keep their block as group: nothing can merge with them.
-    group = F.when(F.col("_edge"), F.lit(None)).otherwise(F.col("_block"))
-    grouped = pieces.withColumn("_group", group).drop("_edge", "_run", "_block")
-    merged = _merge_runs(grouped, [*keys, "_group"], gap_us, measures)
+    # Inner pieces are finished sessions; only those at the edges of blocks move once more.
+    merged = _merge_runs(pieces.where("_edge").drop("_edge", "_run", "_block"), keys, gap_us, measures)
     ms = lambda c: F.floor(F.col(c) / 1000).cast("long")
-    return merged.select(*keys, *_bounds(start, end, ms("_s"), ms("_e")), *M.results(measures))
+    out = lambda df: df.select(*keys, *_bounds(start, end, ms("_s"), ms("_e")), *M.results(measures))
+    return out(pieces.where("NOT _edge")).unionByName(out(merged))
 
 
 def _merge_runs(df, part, gap_us, measures):

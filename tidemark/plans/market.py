@@ -36,7 +36,7 @@ def ohlc_volatility(trades, size, order):
     )
 
 
-def hop_volume(trades, size, slide, panes=None):
+def hop_volume(trades, size, slide, panes=True):
     return windows.hop_agg(trades, SYMBOL, size, slide, [
         M.total("volume", "total_volume"), M.count_rows("trade_count"),
         M.mean("price", "avg_price"),
