@@ -40,7 +40,7 @@ def _mix(a):
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles; hashes of words are remembered."""
 
-    def __init__(self, size, memo=300_000):
+    def __init__(self, size, memo=100_000):
         self.size, self.limit, self.known = size, memo, {}
 
     def __call__(self, text):
@@ -107,7 +107,7 @@ def signatures(docs, size, bands, rows):
     def sign(batches):
         shingle, signer = Shingler(size), Signer(bands, rows)
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 1 << 20):
                 sets = [shingle(t) for t in piece.column(1).to_pylist()]
                 keys = [signer(s) if len(s) else np.zeros(0, dtype=np.int64) for s in sets]
                 offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
@@ -282,6 +282,7 @@ def drop_near_duplicates(docs, id_col="doc_id", text_col="text", size=5, percent
     keep = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
     key = col(id_col).cast("long")
     stay = docs.join(keep, key == F.col("_kept_id"))
-    row = F.struct(F.coalesce(col(text_col).cast("string"), F.lit("")).alias("t"), F.struct(*map(col, docs.columns)).alias("r"))
-    one = stay.groupBy("_kept_id").agg(F.min(row).alias("_row")).select("_row.r.*")
+    # The text comes first and stands in the row once.
+    row = F.struct(col(text_col), *(col(c) for c in docs.columns if c != text_col))
+    one = stay.groupBy("_kept_id").agg(F.min(row).alias("_row")).select("_row.*").select(*map(col, docs.columns))
     return one.unionByName(docs.where(key.isNull()))
