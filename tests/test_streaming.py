@@ -173,6 +173,18 @@ def test_lag_and_lead_continue_across_batches(spark, folder):
     assert _same(_without_end(lead), _without_end(flat))
 
 
+def test_one_key_uses_several_tasks(spark, folder):
+    batches = [[("AAPL", float(i), 1, T0 + 500 * i) for i in range(a, a + 60)] for a in (0, 60)]
+    t = _live(spark, folder, [*batches, [END]])
+    out = emit.on_close(
+        stateful.stream_lag(t, ["symbol"], "price", "prev_price", ["ts"], -1.0, segment="4 seconds"),
+        "h", f"{folder}/out")
+    assert out.where("symbol = 'AAPL' AND prev_price = price - 1").count() == 120
+    parts = out.where("symbol = 'AAPL'").groupBy(F.input_file_name().alias("f")).count()
+    # Three micro-batches hand rows out; one task each would write three files.
+    assert parts.count() > 6 and parts.agg(F.max("count")).first()[0] < 60
+
+
 def test_per_batch_lag_starts_again(spark, folder):
     path = _feed(spark, folder, BATCHES[:3], TRADES)
     raw = files.read_stream(spark, path, TRADES, max_files=1)

@@ -22,6 +22,8 @@ BAR, WIDE_BAR = "1 hour", "6 hours"
 HOP_SIZE, HOP_SLIDE = "6 hours", "1 hour"
 GAP = "30 minutes"
 BAND = "10 minutes"
+# Streams spread a key over segments; each costs calls to the state, and events are sparse.
+SEGMENT = "7 days"
 # How far rows of a source may be behind the newest one: quotes and orders are dated
 # up to 17 and 33 minutes before they arrive.
 DELAYS = {tables.trades: "10 seconds", tables.quotes: "20 minutes", tables.orders: "40 minutes"}
@@ -366,7 +368,7 @@ _NEIGHBOUR_COLS = ["event_id", "symbol", "price", "ts", "event_time"]
 def stream_lag(s, d):
     live = _live(tables.trades, s, d).select(*_NEIGHBOUR_COLS)
     out = stateful.stream_lag(
-        live, ["symbol"], "price", "prev_price", ["ts", "event_id"], default=-1.0
+        live, ["symbol"], "price", "prev_price", ["ts", "event_id"], default=-1.0, segment=SEGMENT
     )
     return emit.on_close(out, "stream_lag").drop("ts")
 
@@ -374,7 +376,7 @@ def stream_lag(s, d):
 def stream_lead(s, d):
     live = _live(tables.trades, s, d).select(*_NEIGHBOUR_COLS)
     out = stateful.stream_lead(
-        live, ["symbol"], "price", "next_price", ["ts", "event_id"], default=-1.0
+        live, ["symbol"], "price", "next_price", ["ts", "event_id"], default=-1.0, segment=SEGMENT
     )
     return emit.on_close(out, "stream_lead").drop("ts")
 
@@ -384,7 +386,7 @@ def stream_asof(s, d):
     o = _live(tables.orders, s, d).select(
         "symbol", "order_no", "order_id", F.col("price").alias("order_price"), "ts", "event_time"
     )
-    out = stateful.stream_asof(t, o, ["symbol"], ["order_id", "order_price"], "order_no")
+    out = stateful.stream_asof(t, o, ["symbol"], ["order_id", "order_price"], "order_no", segment=SEGMENT)
     return emit.on_close(out, "stream_asof").select(
         "event_id", "symbol", "price", "order_id", "order_price"
     )
@@ -481,7 +483,7 @@ def table_sink_rows(s, d):
 def _detect(trades, orders):
     return fraud.detection_streams(
         trades, orders, hop_size=HOP_SIZE, hop_slide=HOP_SLIDE, bar=BAR,
-        burst_gap=GAP, wash=BAR, match=BAND, order="seq",
+        burst_gap=GAP, wash=BAR, match=BAND, order="seq", segment=SEGMENT,
     )
 
 
