@@ -83,6 +83,18 @@ def test_contexts_find_unseen_identifiers(spark, frame):
     assert got[7] == listed(brute(docs[7][1]))
 
 
+def test_right_words_and_pairs_of_words_find_unseen_identifiers(spark, frame):
+    seed = lambda k: f"+1 (668) 555-{1000 + k}"
+    # Only the word after tells the first, only both words together tell the second.
+    docs = [(k, f"word{'abcdefghij'[k % 10]}{chr(97 + k // 10)} {seed(k)} rings") for k in range(30)]
+    docs += [(100 + k, f"from {seed(100 + k)} until") for k in range(30)]
+    docs += [(200 + k, f"from a{k}b onward") for k in range(60)] + [(300 + k, f"since a{k}b until") for k in range(60)]
+    docs += [(500, "other 668.555.7777 rings"), (501, "from 668.555.8888 until"), (502, "from 668.555.9999 onward"), (503, "since 668.555.6666 until")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(pii.find(frame(docs))).collect()}
+    assert got[500] == "phone:6:18" and got[501] == "phone:5:17"
+    assert got[502] == got[503] == ""
+
+
 def test_mask(spark, frame):
     docs = frame(planted() + [(200, None), (201, "mail a@b.co or 😀 c@d.ef!"), (201, "mail a@b.co or 😀 c@d.ef!"), (202, "plain")])
     got = pii.mask(docs)

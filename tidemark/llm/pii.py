@@ -35,8 +35,9 @@ _MATCH = "array<struct<kind:int,i:int,gap:bigint,value:string,before:string,afte
 def _matches(kind, text, pattern, guard):
     """Matches with the length of the gap before each, and the words next to it."""
     gaps = F.split(text, pattern, -1)
-    # Zipped, so that the text is cut once a row and not once a match.
-    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps, F.slice(gaps, 2, 2**31 - 1))
+    # Zipped, so that the text is cut once a row and not once a match. Start and length of the slice stay far below
+    # the largest int: without generated code their sum would overflow and the slice be empty.
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps, F.slice(gaps, 2, F.size(gaps)))
     found = F.transform(
         zipped,
         lambda z, i: F.struct(
