@@ -64,3 +64,13 @@ def test_scores_use_only_the_text(spark, frame):
     docs = [(k, "same text here") for k in range(9)]
     voter = quality.fit(frame(docs), labelled(spark, [(k, k % 2) for k in range(9)]))
     assert quality.classify(frame(docs), voter).select("score").distinct().count() == 1
+
+
+def test_score_is_alike_below_and_above_the_bound(spark, frame):
+    # One kind of text, of which one in seven is of label 0.
+    docs = [(k, f"The plain words of sentence {k} stand here.") for k in range(840)]
+    labels = labelled(spark, [(k, int(k % 7 > 0)) for k in range(840)])
+    fixed = np.array([quality.features("The plain words of this sentence stand here.")])
+    below, above = (quality.fit(frame(docs), labels, sample=n, neighbours=60) for n in (4000, 60))
+    assert (below.votes == 1).all() and len(above.labels) == 60 and above.labels.mean() == 0.5
+    assert abs(below.score(fixed)[0] - 6 / 7) < 0.12 and abs(above.score(fixed)[0] - 6 / 7) < 0.05

@@ -74,9 +74,11 @@ def features(text):
 class Voter:
     """Fitted weights, the projection, and the labelled vectors that vote."""
 
-    def __init__(self, rows, labels, prior, dimensions=DIMENSIONS, neighbours=NEIGHBOURS):
+    def __init__(self, rows, labels, prior, votes=(1.0, 1.0), dimensions=DIMENSIONS, neighbours=NEIGHBOURS):
         self.prior = prior
         self.labels = np.asarray(labels, dtype=np.float32)
+        #: The weight of each row's vote, from that of its label.
+        self.votes = np.asarray(votes, dtype=np.float64)[self.labels.astype(np.int64)]
         self.neighbours = min(neighbours, len(labels))
         if len(labels):
             rows = np.asarray(rows, dtype=np.float32)
@@ -94,7 +96,7 @@ class Voter:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     def score(self, rows):
-        """Share of label 1 among the nearest, by similarity; the prior where nothing is near."""
+        """Share of label 1 among the nearest, by similarity and vote; the prior where nothing is near."""
         if not len(self.labels):
             return np.full(len(rows), 0.5)
         out = []
@@ -102,6 +104,7 @@ class Voter:
             near = self.project(rows[start : start + BLOCK]) @ self.vectors.T
             top = np.argpartition(-near, self.neighbours - 1, axis=1)[:, : self.neighbours]
             weight = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(np.float64) ** SHARPNESS
+            weight *= self.votes[top]
             out.append(((weight * self.labels[top]).sum(axis=1) + 0.01 * self.prior) / (weight.sum(axis=1) + 0.01))
         return np.concatenate(out)
 
@@ -124,6 +127,8 @@ def fit(docs, labels, id_col="doc_id", text_col="text", label_col="quality", sam
     """A voter fitted on at most ``sample`` labelled rows that are not held out.
 
     The rows are those of the least hashed ids, of each label up to half the sample.
+    A row's vote weighs its label's share in all training rows over that in the sample,
+    so scores mean the same below and above the bound.
     Labels of an id that repeats are averaged, null ids and labels are left out, of
     several texts of an id the one of the least features counts. Only the sample's
     features reach the driver.
@@ -133,6 +138,10 @@ def fit(docs, labels, id_col="doc_id", text_col="text", label_col="quality", sam
     known = known.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     shares = known.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     prior = (shares["ones"] or 0) / shares["n"] if shares["n"] else 0.5
+    # How many are known and chosen of each label.
+    of = np.array([(shares["n"] or 0) - (shares["ones"] or 0), shares["ones"] or 0], dtype=np.float64)
+    taken = np.minimum(of, sample // 2)
+    votes = of * taken.sum() / np.maximum(1, taken * of.sum())
     chosen = None
     for label in (0, 1):
         some = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
@@ -144,7 +153,7 @@ def fit(docs, labels, id_col="doc_id", text_col="text", label_col="quality", sam
         .join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
     )
     data = np.array([np.frombuffer(bytes(r["row"]), dtype=np.float32) for r in rows]).reshape(len(rows), FEATURES)
-    return Voter(data, [r["label"] for r in rows], prior, **options)
+    return Voter(data, [r["label"] for r in rows], prior, votes, **options)
 
 
 def classify(docs, voter, id_col="doc_id", text_col="text"):
