@@ -95,6 +95,18 @@ def test_right_words_and_pairs_of_words_find_unseen_identifiers(spark, frame):
     assert got[502] == got[503] == ""
 
 
+def test_identifiers_of_several_tokens_are_masked_whole(spark, frame):
+    docs = planted()[:30] + [
+        (400, "Contact phone: (668) 555-7777 thanks"), (401, "Contact phone: 668 555 - 7777, 12 of them"), (402, "Contact phone: 668 555\n12 rows"),
+        (403, "Contact phone: 668 555 +1 (668) 555-1234 thanks"), (404, "Contact phone: 668 nobody 555")]
+    text = {r["doc_id"]: r["text"] for r in pii.mask(frame(docs)).collect()}
+    assert text[400] == "Contact phone: [PHONE] thanks"
+    assert text[401] == "Contact phone: [PHONE], 12 of them"
+    assert text[402] == "Contact phone: [PHONE]\n12 rows"
+    assert "1234" not in text[403] and text[403].endswith("[PHONE] thanks")
+    assert text[404] == "Contact phone: [PHONE] nobody 555"
+
+
 def test_mask(spark, frame):
     docs = frame(planted() + [(200, None), (201, "mail a@b.co or 😀 c@d.ef!"), (201, "mail a@b.co or 😀 c@d.ef!"), (202, "plain")])
     got = pii.mask(docs)

@@ -1,8 +1,9 @@
 """Personal data by patterns, and by contexts that are bootstrapped from them.
 
 Base matches (email, ip, card, phone) are seeds. The words around a seed are lexical
-patterns; other identifier-like tokens (those with a digit) that stand in the same
-patterns are unknown instances. Scores run over the graph of patterns and
+patterns; other identifier-like tokens (those with a digit), with neighbouring ones
+that only blanks and signs part from them, are unknown instances where they stand in
+the same patterns. Scores run over the graph of patterns and
 instances: a pattern is as sure of a kind as the share of its places that hold
 instances of that kind, an instance as sure as its patterns together. Places of
 unknown instances in patterns that are sure enough become spans.
@@ -28,6 +29,8 @@ _CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 _DIGIT = "[0-9]"
+# What may stand between tokens of one instance: after the one, between them, and before the other.
+_TAIL, _GAP, _LEAD = r"^[)\]/-]*$", r"^[\x20\t]+(?:[()/+.-]+[\x20\t]+)*$", r"^[(\[/+-]*$"
 
 _MATCH = "array<struct<kind:int,i:int,gap:bigint,value:string,before:string,after:string>>"
 
@@ -80,7 +83,7 @@ def _context(row):
 
 
 def _located(raw):
-    """A row for each match: kind, start, end, value and context; a token's bare core as kind 4."""
+    """A row for each match: kind, start, end, value and context; a run of tokens' bare cores as kind 4."""
     per = Window.partitionBy("row", "kind").orderBy("i")
     at = (
         raw.select("row", F.explode("found").alias("m")).select("row", "m.*")
@@ -92,10 +95,10 @@ def _located(raw):
     lead = F.length("lead")
     token = (
         token.withColumn("core", F.regexp_extract(F.substring("value", lead + 1, F.length("value") - lead), r"(?s)^(.*[\p{L}\p{N}])", 1))
-        .withColumn("before", F.when(F.col("lead").rlike("[=:]"), F.col("lead")).otherwise(F.col("before")))
-        .withColumn("start", F.col("start") + lead).withColumn("value", F.col("core")).drop("lead", "core")
+        .withColumn("tail", F.substring("value", lead + F.length("core") + 1, F.length("value")))
+        .withColumn("start", F.col("start") + lead).withColumn("value", F.col("core")).drop("core")
     )
-    both = base.unionByName(token.where(_valid()))
+    both = base.unionByName(token.where(_valid()), allowMissingColumns=True)
     both = both.withColumn("end", F.col("start") + F.length("value"))
     seed = F.col("kind") < 4
     per = Window.partitionBy("row")
@@ -103,10 +106,38 @@ def _located(raw):
     reach = F.max(F.when(seed, F.col("end"))).over(so_far("start", "kind"))
     ahead = F.min(F.when(seed, F.col("start"))).over(so_far(F.desc("start"), F.desc("kind")))
     apart = F.coalesce(reach <= F.col("start"), F.lit(True)) & F.coalesce(ahead >= F.col("end"), F.lit(True))
-    return _context(both.withColumn("apart", apart).where(seed | F.col("apart"))).select(
+    both = both.withColumn("apart", apart)
+    columns = ["row", "kind", "start", "end", "value", "before", "after"]
+    runs = _runs(both.where("kind = 4"))
+    return _context(both.where(seed).select(*columns).unionByName(runs.select(*columns))).select(
         "row", "kind", "start", "end", F.lower("value").alias("value"), "left", "right")
 
 
+def _runs(token):
+    """Neighbouring tokens joined by blanks and signs as one instance; tokens that meet a seed end a run and go."""
+    per = Window.partitionBy("row").orderBy("i")
+    named = F.col("lead").rlike("[=:]")
+    last = lambda c: F.lag(c).over(per)
+    joined = (
+        F.col("apart") & last("apart") & (last("i") == F.col("i") - 1) & (F.col("gap") <= CONTEXT)
+        & last("tail").rlike(_TAIL) & F.col("before").rlike(_GAP) & F.col("lead").rlike(_LEAD)
+    )
+    token = token.withColumn("joined", F.coalesce(joined, F.lit(False)))
+    token = token.withColumn("piece", F.when(F.col("joined"), F.concat(last("tail"), "before", "lead", "value")).otherwise(F.col("value")))
+    token = token.withColumn("run", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(per.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda p: p["piece"])
+    run = token.where("apart").groupBy("row", "run").agg(
+        F.lit(4).alias("kind"), F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(pieces, "").alias("value"),
+        F.min_by("lead", "i").alias("lead"), F.min_by("before", "i").alias("before"), F.max_by("after", "i").alias("after"))
+    # A bracket that is closed inside belongs to the instance.
+    opened = F.col("lead").rlike(r"\($") & F.col("value").rlike(r"^[^()]*\)")
+    return (
+        run.withColumn("before", F.when(named, F.col("lead")).otherwise(F.col("before")))
+        .withColumn("start", F.when(opened, F.col("start") - 1).otherwise(F.col("start")))
+        .withColumn("value", F.when(opened, F.concat(F.lit("("), "value")).otherwise(F.col("value")))
+    )
+
+
 def _places(located):
     """Every place with each of its patterns."""
     word = lambda mark, c: F.when(c != "", F.concat(F.lit(mark), c))
