@@ -76,6 +76,12 @@ def test_given_table(spark, data):
     check(queries.op6_language_model(spark, data), brute(docs, lm.ORDER))
 
 
+def test_query_uses_trigrams(spark, frame, folder):
+    docs = made()[:-1]
+    frame(docs).write.parquet(f"{folder}/documents.parquet")
+    check(queries.op6_language_model(spark, folder), brute(docs, 3))
+
+
 def test_held_out_texts_score_better_than_unigrams(spark, data):
     row = queries.op6_language_model(spark, data).where("held_out").selectExpr("avg(score / n_tokens) s", "avg(base_score / n_tokens) b").first()
     assert row["s"] > row["b"]

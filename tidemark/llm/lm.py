@@ -22,7 +22,7 @@ from pyspark.sql import functions as F, types as T
 from .blocks import by_bucket, make_blocks, unpack
 from .common import parts, planes, store, text_bytes, texts, tokens, unplanes
 
-ORDER = 2
+ORDER = 3
 STRENGTH = 2.0
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
