@@ -132,6 +132,7 @@ def _answer(table):
 def walk(t, counts, tokens_total, distinct, strength, documents):
     """log10 weight of every step of the left-to-right walk over a block's texts.
 
+    The walk is done as array look-ups by position; no states or arcs are stored.
     After a token the automaton stands in the longest seen history that ends there;
     a step takes the arc of the next token if there is one, and else the failure
     arc to the shorter history, down to the root.
