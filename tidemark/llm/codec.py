@@ -1,10 +1,10 @@
-"""BPE ids of whole corpora by a table of distinct words, and back by an id-to-piece join.
+"""BPE ids of whole corpora by a table of distinct words, and back by an id-to-piece look-up.
 
 Texts are split to words (pieces that no token crosses). Each block of documents
 asks the hashed word buckets about its distinct words; a bucket encodes a distinct
 word once for the whole corpus and answers every block that holds it. A block puts
-the ids back by the word's position. Decoding joins ids with the vocabulary, whose
-size is fixed by the tokenizer's file.
+the ids back by the word's position. Decoding looks ids up in the broadcast vocabulary,
+whose size is fixed by the tokenizer's file.
 """
 
 import hashlib
@@ -185,7 +185,7 @@ def digests(docs, tokenizer_path, id_col="doc_id", text_col="text", block_bytes=
 
 
 def decode(encoded, tokenizer_path, id_col="doc_id", ids_col="ids"):
-    """Text of arrays of ids, through a join with the vocabulary; null arrays stay null."""
+    """Text of arrays of ids, by a look-up in the broadcast vocabulary; null arrays stay null."""
     model = encoded.sparkSession.sparkContext.broadcast(Model.load(tokenizer_path))
     rows = encoded.select(id_col, ids_col)
     kind = T.StructType([rows.schema[id_col], T.StructField("decoded", T.StringType())])
