@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chunking, codec, decontam, licenses, lm, neardup, pii, quality, tokencount, warc
+from . import chunking, codec, collisions, decontam, licenses, lm, neardup, pii, quality, search, spelling, tokencount, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -56,9 +56,22 @@ def op8_warc(spark, sf_dir):
     return warc.fields(warc.read(spark, folder))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_vectors(spark, sf_dir):
+    return collisions.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_decontamination, op2_licenses, op3_fingerprints, op4_quality, op5_personal_data, op6_language_model, op7_token_counts, op8_warc, op9_near_duplicates, op10_bpe,
+        op11_ranked_search, op12_spelling_variants, op13_nearest_vectors,
     )
 }
 
@@ -121,4 +134,67 @@ ORACLE = {
                CASE WHEN payload_bytes >= 100 AND page_id <> head THEN head END AS refers_to
         FROM d
     """,
+    "op11_ranked_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents),
+        t AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM d) GROUP BY 1, 2),
+        c AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+        i AS (
+            SELECT number, item_id, term, count(*) AS repeats
+            FROM (SELECT number, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS number, item_id, {_WORDS} AS w FROM benchmark))
+            GROUP BY 1, 2, 3
+        ),
+        f AS (SELECT term, count(*) AS df FROM t WHERE term IN (SELECT term FROM i) GROUP BY 1),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM f, c),
+        m AS (SELECT k, doc_id, 25 + (75 * CAST(len(w) AS BIGINT) * docs) // total AS m FROM d, c WHERE len(w) > 0),
+        s AS (
+            SELECT number, item_id, k, doc_id, CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM i JOIN w USING (term) JOIN t USING (term) JOIN m USING (k) GROUP BY 1, 2, 3, 4
+        ),
+        r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+            FROM s WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE bits AS (
+            SELECT i AS byte, i AS v, 0 AS step FROM range(256) AS r(i)
+            UNION ALL SELECT byte, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM bits WHERE step < 8
+        ),
+        crc AS (SELECT list(v ORDER BY byte) AS steps FROM bits WHERE step = 8),
+        o AS (
+            SELECT translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, coalesce(CAST(doc_id AS VARCHAR), '') AS id
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents)
+        ),
+        p AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS h FROM o GROUP BY 1, 2),
+        q AS (
+            SELECT run, n, xor(list_reduce(
+                list_prepend(4294967295, [CAST('0x' || h[2 * i - 1:2 * i] AS BIGINT) FOR i IN range(1, len(h) // 2 + 1)]),
+                lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])
+            ), 4294967295) AS h FROM p, crc
+        ),
+        c AS (
+            SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(n) AS n
+            FROM q GROUP BY 1
+        ),
+        v AS (SELECT word, CAST(n AS BIGINT) AS n FROM c WHERE length(word) >= 7 AND n >= 2),
+        g AS (
+            SELECT word, n, kind, unnest(CASE kind
+                WHEN 0 THEN [word] WHEN 1 THEN [word[1:i - 1] || word[i + 1:] FOR i IN range(1, length(word) + 1)]
+                ELSE [word[1:i - 1] || '*' || word[i + 1:] FOR i IN range(1, length(word) + 1)] END) AS key
+            FROM v, (VALUES (0), (1), (2)) AS t(kind)
+        ),
+        e AS (
+            SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM g AS a JOIN g AS b ON a.key = b.key AND a.word <> b.word
+            AND (a.kind + b.kind = 1 OR a.kind = 2 AND b.kind = 2)
+        ),
+        s AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM e GROUP BY 1),
+        w AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form,
+                   CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+            FROM v LEFT JOIN s USING (word)
+        ),
+        j AS (SELECT word, word AS root, form AS next FROM w UNION ALL SELECT j.word, w.word, w.form FROM j JOIN w ON w.word = j.next)
+        SELECT word, form, root, n, n_near, form_n FROM w JOIN (SELECT word, root FROM j WHERE next IS NULL) USING (word)
+    """,
 }
