@@ -35,12 +35,15 @@ from .common import col, parts, store
 
 K = 20
 ASK_EVERY = 20
-PROJECTIONS = 64
+PROJECTIONS = 32
 # Half a window in radii, and the share of vectors at the radius itself that must pass.
-WINDOW, PASS = 1.0, 0.99
-START, WIDEN = 0.25, 1.3
+WINDOW, PASS = 1.0, 0.97
+START, WIDEN = 0.25, 1.4
 SHARD_ROWS, QUERY_BYTES = 4096, 32 << 20
-FIRST_SHARDS, GROWTH = 8, 8
+FIRST_SHARDS, GROWTH = 1, 8
+# A task takes so many queries at a time through a shard.
+STEP = 512
+FIRST_TASKS = 16
 SEED = 20
 
 INDEX = T.StructType([
@@ -112,7 +115,10 @@ class _Shard:
         self.null = np.array([i is None for i in ids])
         self.v = np.frombuffer(vectors).reshape(-1, dim)
         self.values = np.frombuffer(values, dtype=np.float32).reshape(projections, -1)
-        self.order = np.frombuffer(order, dtype=np.int32).reshape(projections, -1)
+        self.order = np.frombuffer(order, dtype=np.int32).reshape(projections, -1).astype(np.int64)
+        self.kind = np.uint16 if self.n < 1 << 16 else np.uint32
+        self.places = np.empty(self.order.shape, dtype=self.kind)
+        np.put_along_axis(self.places, self.order, np.arange(self.n, dtype=self.kind)[None, :], axis=1)
 
     def windows(self, centres, half):
         """Bounds of the windows of every query (rows) in every array (columns)."""
@@ -125,15 +131,28 @@ class _Shard:
 
     def collide(self, lo, hi):
         """How often each vector stands in the given windows."""
-        return np.bincount(np.concatenate([self.order[j, a:b] for j, (a, b) in enumerate(zip(lo.tolist(), hi.tolist()))]), minlength=self.n)
-
-    def first(self, own, at, scores, k):
-        """The k best of the verified vectors, without those of the query's own id."""
-        other = (self.ids[at] != own) | self.null[at]
-        at, scores = at[other], scores[other]
-        if len(at) > k:
-            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-            at, scores = at[near], scores[near]
+        inside = [self.order[j, a:b] for j, (a, b) in enumerate(zip(lo.tolist(), hi.tolist()))]
+        return np.bincount(np.concatenate(inside), minlength=self.n)
+
+    def collide_wide(self, lo, hi):
+        """The same for windows that hold much of the arrays: every vector's places are held against them."""
+        inside = (self.places - lo[:, None].astype(self.kind)) < (hi - lo)[:, None].astype(self.kind)
+        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint16)
+
+    def verify(self, at, query, own, k, reach=None):
+        """The k best of the candidates by their exact products, without those of the query's own id.
+
+        A matrix product comes first; what its rounding leaves open is multiplied row by
+        row, so that equal vectors have equal scores.
+        """
+        at = at[(self.ids[at] != own) | self.null[at]]
+        rough = (self.v @ query)[at]
+        least = np.partition(rough, len(rough) - k)[len(rough) - k] if len(rough) > k else -np.inf
+        least = least if reach is None else max(least, reach)
+        at = at[rough >= least - 1e-9 * (1 + abs(least))] if np.isfinite(least) else at
+        scores = (self.v[at] * query).sum(axis=1)
+        if reach is not None:
+            at, scores = at[scores >= reach], scores[scores >= reach]
         best = np.lexsort((self.ids[at], -scores))[:k]
         return at[best], scores[best]
 
@@ -158,7 +177,6 @@ def _widen(shard, queries, rows, k, enough):
     """Queries that know no score yet: windows widen until k vectors within the radius are found."""
     radius = START
     counts = {q: np.zeros(shard.n, dtype=np.int64) for q in rows}
-    checked = {q: np.zeros(shard.n, dtype=bool) for q in rows}
     best = {}
     lo = hi = None
     while rows:
@@ -169,12 +187,7 @@ def _widen(shard, queries, rows, k, enough):
         still = []
         for i, q in enumerate(rows):
             counts[q] += shard.collide(a[i], lo[i]) + shard.collide(hi[i], b[i])
-            fresh = np.flatnonzero(~checked[q] & ((counts[q] >= enough) | spans))
-            checked[q][fresh] = True
-            scores = (shard.v[fresh] * queries.v[q]).sum(axis=1)
-            if q in best:
-                fresh, scores = np.concatenate([best[q][0], fresh]), np.concatenate([best[q][1], scores])
-            best[q] = shard.first(queries.own[q], fresh, scores, k)
+            best[q] = shard.verify(np.flatnonzero((counts[q] >= enough) | spans), queries.v[q], queries.own[q], k)
             inside = (queries.radius(q, best[q][1]) <= radius).sum()
             if inside < k and not spans:
                 still.append(i)
@@ -183,25 +196,25 @@ def _widen(shard, queries, rows, k, enough):
     return best
 
 
-def _search(shard, queries, k, enough, step=256):
-    for start in range(0, len(queries.numbers), step):
-        block = np.arange(start, min(start + step, len(queries.numbers)))
+def _search(shard, queries, piece, pieces, k, enough):
+    """One piece of the queries against one shard."""
+    mine = np.arange(piece, len(queries.numbers), pieces)
+    for start in range(0, len(mine), STEP):
+        block = mine[start : start + STEP]
         known = np.isfinite(queries.reach[block])
         best = _widen(shard, queries, block[~known].tolist(), k, enough)
         rows = block[known]
         if len(rows):
             lo, hi = shard.windows(queries.centres[rows], WINDOW * queries.radius(rows, queries.reach[rows]))
             for i, q in enumerate(rows.tolist()):
-                at = np.flatnonzero(shard.collide(lo[i], hi[i]) >= enough)
-                scores = (shard.v[at] * queries.v[q]).sum(axis=1)
-                may = scores >= queries.reach[q]
-                best[q] = shard.first(queries.own[q], at[may], scores[may], k)
+                at = np.flatnonzero(shard.collide_wide(lo[i], hi[i]) >= enough)
+                best[q] = shard.verify(at, queries.v[q], queries.own[q], k, queries.reach[q])
         for q, (at, scores) in best.items():
             yield queries.numbers[q], at, scores
 
 
-def _wave(index, block, dim, longest, k, projections):
-    """What the shards of a wave find for one block of queries (an Arrow table)."""
+def _wave(index, pieces, block, dim, longest, k, projections):
+    """What the shards of a wave find for one block of queries (an Arrow table), each piece of it in a task of its own."""
     spark = index.sparkSession
     sent = spark.sparkContext.broadcast(block)
     enough = least_collisions(projections)
@@ -214,17 +227,19 @@ def _wave(index, block, dim, longest, k, projections):
                 ids, vectors, values, order = (batch.column(c)[row].as_py() for c in ("ids", "vectors", "values", "order"))
                 shard = _Shard(ids, vectors, values, order, dim, projections)
                 numbers, at, scores = [], [], []
-                for number, a, s in _search(shard, queries, k, enough):
+                for number, a, s in _search(shard, queries, batch.column("piece")[row].as_py(), pieces, k, enough):
                     numbers.append(np.full(len(a), number))
                     at.append(a)
                     scores.append(s)
+                if not at:
+                    continue
                 at = np.concatenate(at)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(numbers), pa.int64()), pa.array(shard.ids[at], pa.int64(), mask=shard.null[at]),
                     pa.array(np.concatenate(scores), pa.float64()),
                 ], schema=_FOUND)
 
-    return index.select("ids", "vectors", "values", "order").mapInArrow(run, FOUND)
+    return index.select("ids", "vectors", "values", "order", "piece").mapInArrow(run, FOUND)
 
 
 def waves(shards):
@@ -255,12 +270,16 @@ def nearest(vectors, k=K, every=ASK_EVERY, id_col="vec_id", vector_col="embeddin
                 "query", F.when(F.col("n") >= k, F.col("least")).alias("reach")
             )
             asks = asking.join(reach, "query", "left")
-            wave = index.where((F.col("shard") >= begin) & (F.col("shard") < end)).repartition(end - begin)
+            # The first waves have few shards, so several tasks share the queries of one.
+            pieces = max(1, FIRST_TASKS // (end - begin))
+            wave = index.where((F.col("shard") >= begin) & (F.col("shard") < end)).withColumn(
+                "piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
+            ).repartitionByRange((end - begin) * pieces, "shard", "piece")
             found = best
             for b in range(blocks):
                 block = asks.where(F.col("block") == b).select("query", "vec_id", "v", "reach").toArrow()
                 if block.num_rows:
-                    found = found.unionByName(_wave(wave, block, dim, size["longest"], k, projections))
+                    found = found.unionByName(_wave(wave, pieces, block, dim, size["longest"], k, projections))
             best = store(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "collision-found")
         best = best.withColumn("rank", F.row_number().over(order))
         return best.join(asking.select("query", F.col("vec_id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
