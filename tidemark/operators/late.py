@@ -6,14 +6,15 @@ from ..functions.time import interval_ms
 from .ordered import carry
 
 
-def mark_late(df, arrival, segments, delay, ts="ts", keys=()):
+def mark_late(df, arrival, segments, delay, ts="ts", keys=(), since=None):
     """Add ``watermark`` (ms) and ``is_late`` by arrival order.
 
     The watermark of a row is the largest event time that arrived before it,
     minus ``delay``. ``arrival`` orders the rows; ``segments`` are integer
     columns, coarse to fine, that cut the arrival order into consecutive runs.
     The running maximum scans only inside a run and continues from the maximum
-    carried over earlier runs.
+    carried over earlier runs. ``since`` is the largest event time of rows that
+    arrived before all of these.
     """
     part = [*keys, *segments]
     w = Window.partitionBy(*part).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
@@ -22,7 +23,7 @@ def mark_late(df, arrival, segments, delay, ts="ts", keys=()):
     seen = (
         df.withColumn("_local", F.max(ts).over(w))
         .join(before, part, "left")
-        .withColumn("watermark", F.greatest("_local", "_carry") - F.lit(interval_ms(delay)))
+        .withColumn("watermark", F.greatest("_local", "_carry", F.lit(since).cast("long")) - F.lit(interval_ms(delay)))
     )
     return seen.withColumn(
         "is_late", F.coalesce(F.col(ts) < F.col("watermark"), F.lit(False))

@@ -46,6 +46,12 @@ SELECT symbol, (ts // {size}) * {size} AS bar_start, arg_min(price, seq) AS open
 FROM t GROUP BY 1, 2 {having}"""
 
 
+_SHUFFLED = """
+, m AS (SELECT *, (event_id * 37) % 1009 AS place, max(ts) OVER (
+          ORDER BY (event_id * 37) % 1009, event_id
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 259200000 AS watermark FROM t)"""
+
+
 def _closed(size, end="bar_start + {size}"):
     # A window is out once the watermark (newest event time less the delay) passes its end.
     return end.format(size=size) + f" <= (SELECT max(ts) - {DELAY} FROM t)"
@@ -308,6 +314,17 @@ m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRE
 SELECT symbol, bar_start, count(*) AS cnt FROM b JOIN m USING (batch)
 WHERE mark IS NULL OR bar_start + {HOUR} > mark
 GROUP BY 1, 2 HAVING bar_start + {HOUR} <= (SELECT max(ts) - 259200000 FROM t)"""),
+    "stream_late_rows": t(_SHUFFLED + "\nSELECT event_id, symbol, ts, watermark FROM m WHERE ts < watermark"),
+    "stream_late_counts": t(_SHUFFLED + """
+, r AS (SELECT min(place) AS lo, max(place) - min(place) + 1 AS span FROM m),
+b AS (SELECT (place - r.lo) * 8 // r.span AS batch_id, ts, coalesce(ts < watermark, false) AS late FROM m, r),
+c AS (SELECT batch_id, count(*) AS rows_in, count(*) FILTER (late) AS rows_late,
+             count(*) FILTER (NOT late) AS rows_on_time, max(ts) AS newest FROM b GROUP BY 1)
+SELECT batch_id, rows_in, rows_late, rows_on_time, max(newest) OVER (ORDER BY batch_id) AS high_water FROM c"""),
+    "stream_on_time": t(_SHUFFLED + f"""
+, k AS (SELECT * FROM m WHERE NOT coalesce(ts < watermark, false))
+SELECT symbol, (ts // {HOUR}) * {HOUR} AS bar_start, count(*) AS cnt FROM k
+GROUP BY 1, 2 HAVING bar_start + {HOUR} <= (SELECT max(ts) - 259200000 FROM k)"""),
     "fanout": t(f"""
 , r AS (SELECT * FROM ({_SUMMARY}) WHERE {_closed(HOUR)})
 SELECT *, 'table' AS target FROM r UNION ALL SELECT *, 'topic' AS target FROM r"""),

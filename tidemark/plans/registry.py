@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import json_codec, sql as sql_functions
+from ..functions.time import with_event_time
 from ..operators import joins, late, ranking
 from ..operators.changelog import diff
 from ..schemas import TRADES
 from ..session import scratch
 from ..sinks import foreach, kafka as kafka_sink, tables as table_sink
 from ..sources import cdc as cdc_source, files, kafka as kafka_source, tables
-from ..streaming import emit, native, stateful
+from ..streaming import emit, lateness, native, stateful
 from ..streaming.metrics import source_metrics as metrics_of
 from . import cdc, fraud, market
 
@@ -422,6 +423,35 @@ def stream_late(s, d):
     return emit.on_close(market.window_counts(live, BAR), "stream_late")
 
 
+def _shuffled(s, d):
+    """Trades in shuffled order, parted into on-time and late rows before anything else; folder and schema."""
+    live = tables.trades(s, d, stream=True, order=SHUFFLED).select(
+        "event_id", "symbol", "ts", F.expr(SHUFFLED).alias("arrival"), F.floor(F.col("event_id") / 1_000_000).cast("long").alias("run"),
+    )
+    folder = lateness.split_stream(live, ["arrival", "event_id"], ["arrival", "run"], LATENESS, "stream_late_rows")
+    return folder, live.schema
+
+
+def stream_late_rows(s, d):
+    """Every late row of a stream, kept aside with the mark it missed."""
+    rows = lateness.parted(s, *_shuffled(s, d))
+    return rows.where("is_late").select("event_id", "symbol", "ts", "watermark")
+
+
+def stream_late_counts(s, d):
+    """Rows in, late and on time, and the newest time so far, of every micro-batch."""
+    seen = lateness.marks(s, _shuffled(s, d)[0])
+    return seen.select("batch_id", "rows_in", "rows_late", (F.col("rows_in") - F.col("rows_late")).alias("rows_on_time"), "high_water")
+
+
+def stream_on_time(s, d):
+    """Windows over the on-time rows, in a stream behind the split."""
+    folder, schema = _shuffled(s, d)
+    # An on-time row is never behind what arrived before it by more than the same delay, so none is dropped here.
+    live = emit.watermark(with_event_time(lateness.on_time_stream(s, folder, schema)), LATENESS)
+    return emit.on_close(market.window_counts(live, BAR), "stream_on_time")
+
+
 # --- sinks -------------------------------------------------------------------------
 
 def fanout(s, d):
@@ -507,6 +537,6 @@ QUERIES = {f.__name__: f for f in [
     changelog_totals, json_encode, json_decode, json_field, stream_tumble, stream_hop,
     stream_session, stream_having, stream_cascade, stream_match, stream_update, stream_totals,
     stream_changes, stream_current, stream_session_updates, stream_lag, stream_lead, stream_asof,
-    stream_asof_quote, stream_lookup, stream_late, fanout, foreach_batch, append_ingest,
+    stream_asof_quote, stream_lookup, stream_late, stream_late_rows, stream_late_counts, stream_on_time, fanout, foreach_batch, append_ingest,
     table_sink_rows, fraud_detection, stream_detection,
 ]}

@@ -46,7 +46,7 @@ def arrivals(spark, folder, name, batches=None, order=None):
     """A folder with all rows of a table in ``batches`` appends, in arrival order; written once a session.
 
     ``order`` is an integer SQL expression; append number b holds the b-th equal
-    part of its range.
+    part of its range. Rows for which it is null come first.
     """
     order, batches = order or ARRIVAL[name], batches or _batches
     key = (spark.sparkContext.applicationId, folder, name, batches, order)
@@ -55,8 +55,9 @@ def arrivals(spark, folder, name, batches=None, order=None):
         lo, hi = rows.agg(F.min(place), F.max(place)).first()
         path = scratch(spark, f"arrivals-{name}")
         for b in range(batches):
-            part = place.isNull() if lo is None else (
-                (place >= lo + -(-b * (hi - lo + 1) // batches)) & (place < lo + -(-(b + 1) * (hi - lo + 1) // batches)))
+            part = place.isNull() if b == 0 else F.lit(False)
+            if lo is not None:
+                part = part | ((place >= lo + -(-b * (hi - lo + 1) // batches)) & (place < lo + -(-(b + 1) * (hi - lo + 1) // batches)))
             append(spark, rows.where(part), path, TABLES[name])
         _arrived[key] = path
     return _arrived[key]
