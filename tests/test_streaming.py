@@ -1,18 +1,19 @@
 """Streams over several micro-batches against the batch form or brute force."""
 
 import os
+import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tidemark.functions import json_codec, measures as M
 from tidemark.functions.time import with_event_time
-from tidemark.operators.windows import tumble_agg
+from tidemark.operators.windows import session_agg, tumble_agg
 from tidemark.plans import cdc, market
 from tidemark.schemas import CDC_ENVELOPE, KAFKA_RECORD, LOG_LINE, ORDERS, TRADES
 from tidemark.sinks import foreach, kafka as kafka_sink, tables as table_sink
 from tidemark.sources import cdc as cdc_source, files, kafka as kafka_source
-from tidemark.streaming import emit, native, stateful
+from tidemark.streaming import emit, lateness, native, sessions, stateful
 from tidemark.streaming.metrics import PROGRESS, ProgressLog, _progress_rows, source_metrics
 
 SYMBOLS = ["AAPL", "GOOGL", "MSFT", "AMZN", "TSLA"]
@@ -57,6 +58,10 @@ def _table(spark, rows=ALL, schema=TRADES):
     return with_event_time(spark.createDataFrame(rows, schema))
 
 
+# Trades whose fields may be missing.
+NULLABLE = T.StructType([T.StructField(f.name, f.dataType, True) for f in TRADES.fields])
+
+
 def _same(a, b):
     cols = sorted(a.columns)
     return sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
@@ -201,7 +206,8 @@ def test_session_updates_merge(spark, folder):
         [("A", 0.5, 8, T0 + 2_300)],
     ]
     live = _live(spark, folder, batches, delay="1 minute")
-    out = emit.on_update(stateful.stream_session_updates(live, ["symbol"], 2_000), "s", f"{folder}/out")
+    changes = sessions.stream_session_updates(live, ["symbol"], 2_000, market.burst_measures())
+    out = emit.on_update(changes, "s", f"{folder}/out", mode="append")
     log = sorted((r.batch_id, r.change, r.session_start - T0, r.burst_trades)
                  for r in out.where("symbol = 'A'").collect())
     assert log == [(0, "+U", 0, 2), (1, "+U", 4_000, 1), (2, "+U", 0, 4), (2, "-D", 4_000, 1)]
@@ -210,6 +216,80 @@ def test_session_updates_merge(spark, folder):
         ("A", T0, T0 + 4_000, 4, 15, 0.5, 3.0), ("B", T0, T0, 1, 9, 5.0, 5.0)}
 
 
+def _any_measures():
+    return [
+        M.count_rows("n"), M.mean("price", "mean"), M.value_range("price", "range"), M.opening("price", "open", "volume"),
+        M.closing("price", "close", "volume"), M.total_if(F.col("price") > 50, "volume", "dear"), M.notional(),
+    ]
+
+
+@pytest.mark.parametrize("cuts", [1, 8])
+def test_session_updates_of_any_measures(spark, folder, cuts):
+    """Long and short sessions of a busy key over the ends of blocks, in shuffled order."""
+    rng = random.Random(9)
+    times, t = [], T0
+    for _ in range(400):
+        t += rng.choice([1, 300, 900, 1_000, 1_001, 2_500, 30_000])
+        times.append(t)
+    rows = [("A" if i % 4 else "B", float(rng.randint(1, 100)), i, x) for i, x in enumerate(times)]
+    fed = rows[:]
+    rng.shuffle(fed)
+    size = -(-len(fed) // cuts)
+    live = _live(spark, folder, [fed[k : k + size] for k in range(0, len(fed), size)], delay="1 day")
+    changes = sessions.stream_session_updates(live, ["symbol"], 1_000, _any_measures(), cells_per_block=8)
+    out = emit.on_update(changes, "s", f"{folder}/out", mode="append")
+    last = emit.final_rows(out, ["symbol", "session_start"]).where("change = '+U'").drop("change")
+    want = session_agg(_table(spark, rows), ["symbol"], 1_000, _any_measures())
+    _same(last, want.select(*last.columns))
+    # No change is told twice in a micro-batch.
+    assert out.groupBy("batch_id", "symbol", "session_start").count().where("count > 1").isEmpty()
+
+
+def test_sessions_of_one_key_use_several_tasks(spark, folder):
+    rows = [("A", 1.0, 1, T0 + k * 5_000) for k in range(200)]
+    live = _live(spark, folder, [rows], delay="1 day").withColumn("task", F.spark_partition_id())
+    changes = sessions.stream_session_updates(live, ["symbol"], 2_000, [M.count_rows("n")], cells_per_block=16)
+    told = emit.on_update(changes.withColumn("task", F.spark_partition_id()), "s", f"{folder}/out", mode="append")
+    assert told.count() == 200 and told.select("task").distinct().count() > 2
+
+
+def test_late_rows_kept_aside_for_any_cut(spark, folder):
+    rng = random.Random(4)
+    rows = [("A", float(k), k, None if k == 7 else T0 + k * 100 - rng.choice([0, 0, 0, 5_000, 20_000])) for k in range(300)]
+    high, want = None, set()
+    for row in rows:
+        if high is not None and row[3] is not None and row[3] < high - 3_000:
+            want.add(row[2])
+        high = max(x for x in (high, row[3]) if x is not None)
+    for cuts in (1, 8, 40):
+        size = -(-len(rows) // cuts)
+        path = f"{folder}/{cuts}"
+        os.makedirs(path)
+        feed = _feed(spark, path, [rows[k : k + size] for k in range(0, len(rows), size)], NULLABLE)
+        live = files.read_stream(spark, feed, NULLABLE, max_files=1).withColumn("run", F.floor(F.col("volume") / 16))
+        split = lateness.split_stream(live, ["volume"], ["run"], "3 seconds", "late", f"{path}/out")
+        got = lateness.parted(spark, split, live.schema)
+        late = {r.volume for r in got.where("is_late").collect()}
+        on_time = [r.volume for r in got.where("NOT is_late").collect()]
+        assert late == want and sorted([*late, *on_time]) == list(range(300))
+        counts = lateness.marks(spark, split).collect()
+        assert len(counts) == -(-300 // size) and sum(r.rows_in for r in counts) == 300
+        assert sum(r.rows_late for r in counts) == len(want) and max(r.high_water for r in counts) == max(r[3] for r in rows if r[3])
+    behind = lateness.on_time_stream(spark, split, live.schema)
+    assert emit.on_update(behind.groupBy().count(), "n", f"{folder}/n", complete=True).first()[0] == 300 - len(want)
+
+
+def test_late_rows_of_a_repeated_micro_batch(spark, folder):
+    rows = [("A", 1.0, k, T0 + k) for k in range(10)] + [("A", 1.0, 10, T0 - 9_000)]
+    batch = _table(spark, rows).drop("event_time").withColumn("run", F.lit(0))
+    live = files.read_stream(spark, _feed(spark, folder, [rows], TRADES), TRADES).withColumn("run", F.lit(0))
+    split = lateness.split_stream(live, ["volume"], ["run"], "3 seconds", "late", f"{folder}/out")
+    for _ in range(2):
+        lateness._part(split, ["volume"], ["run"], "3 seconds", "ts")(batch, 0)
+    assert lateness.parted(spark, split, batch.schema).count() == 11
+    assert [tuple(r) for r in lateness.marks(spark, split).collect()] == [(11, 1, T0 + 9, 0)]
+
+
 def test_changelog(spark, folder):
     path = _feed(spark, folder, [[("A", 1.0, 5, 0), ("B", 1.0, 7, 0)], [("A", 1.0, 3, 1)]], TRADES)
     live = files.read_stream(spark, path, TRADES, max_files=1)

@@ -15,9 +15,16 @@ from pyspark.sql import Column, functions as F
 
 @dataclass(frozen=True)
 class Part:
+    """A partial aggregate; ``row`` is its value for a single row, ``fold`` says how values combine.
+
+    ``fold`` is "sum", "min" or "max", or ("min_by" | "max_by", suffix of the part it goes by).
+    """
+
     suffix: str
     first: Column
     again: Callable[[Callable[[str], Column]], Column]
+    row: Column
+    fold: str | tuple
 
 
 @dataclass(frozen=True)
@@ -38,6 +45,21 @@ def merges(measures):
     return [p.again(m.get).alias(f"{m.name}__{p.suffix}") for m in measures for p in m.parts]
 
 
+def row_partials(measures):
+    """The partials of single rows, for states that fold them in Python."""
+    return [p.row.alias(f"{m.name}__{p.suffix}") for m in measures for p in m.parts]
+
+
+def folds(measures):
+    """How each partial folds: its column, ("sum" | "min" | "max" | "min_by" | "max_by", the column it goes by)."""
+    out = {}
+    for m in measures:
+        for p in m.parts:
+            kind, by = (p.fold, p.suffix) if isinstance(p.fold, str) else p.fold
+            out[f"{m.name}__{p.suffix}"] = (kind, f"{m.name}__{by}")
+    return out
+
+
 def results(measures):
     return [m.finish(m.get).alias(m.name) for m in measures]
 
@@ -56,24 +78,24 @@ def _order(order):
     return _col(cols[0]) if len(cols) == 1 else F.struct(*[_col(c) for c in cols])
 
 
-def _simple(name, expr, again):
-    return Measure(name, (Part("v", expr, lambda g: again(g("v"))),), lambda g: g("v"))
+def _simple(name, expr, again, row, fold):
+    return Measure(name, (Part("v", expr, lambda g: again(g("v")), row, fold),), lambda g: g("v"))
 
 
 def count_rows(name):
-    return _simple(name, F.count(F.lit(1)), F.sum)
+    return _simple(name, F.count(F.lit(1)), F.sum, F.lit(1).cast("long"), "sum")
 
 
 def total(col, name):
-    return _simple(name, F.sum(_col(col)), F.sum)
+    return _simple(name, F.sum(_col(col)), F.sum, _col(col), "sum")
 
 
 def lowest(col, name):
-    return _simple(name, F.min(_col(col)), F.min)
+    return _simple(name, F.min(_col(col)), F.min, _col(col), "min")
 
 
 def highest(col, name):
-    return _simple(name, F.max(_col(col)), F.max)
+    return _simple(name, F.max(_col(col)), F.max, _col(col), "max")
 
 
 def mean(col, name):
@@ -81,8 +103,8 @@ def mean(col, name):
     return Measure(
         name,
         (
-            Part("s", F.sum(c.cast("double")), lambda g: F.sum(g("s"))),
-            Part("n", F.count(c), lambda g: F.sum(g("n"))),
+            Part("s", F.sum(c.cast("double")), lambda g: F.sum(g("s")), c.cast("double"), "sum"),
+            Part("n", F.count(c), lambda g: F.sum(g("n")), c.isNotNull().cast("long"), "sum"),
         ),
         lambda g: g("s") / g("n"),
     )
@@ -94,8 +116,8 @@ def value_range(col, name):
     return Measure(
         name,
         (
-            Part("hi", F.max(c), lambda g: F.max(g("hi"))),
-            Part("lo", F.min(c), lambda g: F.min(g("lo"))),
+            Part("hi", F.max(c), lambda g: F.max(g("hi")), c, "max"),
+            Part("lo", F.min(c), lambda g: F.min(g("lo")), c, "min"),
         ),
         lambda g: g("hi") - g("lo"),
     )
@@ -107,8 +129,8 @@ def opening(col, name, order):
     return Measure(
         name,
         (
-            Part("v", F.min_by(_col(col), o), lambda g: F.min_by(g("v"), g("o"))),
-            Part("o", F.min(o), lambda g: F.min(g("o"))),
+            Part("v", F.min_by(_col(col), o), lambda g: F.min_by(g("v"), g("o")), _col(col), ("min_by", "o")),
+            Part("o", F.min(o), lambda g: F.min(g("o")), o, "min"),
         ),
         lambda g: g("v"),
     )
@@ -120,8 +142,8 @@ def closing(col, name, order):
     return Measure(
         name,
         (
-            Part("v", F.max_by(_col(col), o), lambda g: F.max_by(g("v"), g("o"))),
-            Part("o", F.max(o), lambda g: F.max(g("o"))),
+            Part("v", F.max_by(_col(col), o), lambda g: F.max_by(g("v"), g("o")), _col(col), ("max_by", "o")),
+            Part("o", F.max(o), lambda g: F.max(g("o")), o, "max"),
         ),
         lambda g: g("v"),
     )

@@ -15,7 +15,7 @@ from ..schemas import TRADES
 from ..session import scratch
 from ..sinks import foreach, kafka as kafka_sink, tables as table_sink
 from ..sources import cdc as cdc_source, files, kafka as kafka_source, tables
-from ..streaming import emit, lateness, native, stateful
+from ..streaming import emit, lateness, native, sessions, stateful
 from ..streaming.metrics import source_metrics as metrics_of
 from . import cdc, fraud, market
 
@@ -355,10 +355,10 @@ def stream_current(s, d):
 
 
 def stream_session_updates(s, d):
+    """Open sessions at the end of the input, from every change handed out on the way."""
     live = _live(tables.trades, s, d)
-    updates = emit.on_update(
-        stateful.stream_session_updates(live, ["symbol"], GAP), "stream_session_updates"
-    )
+    changes = sessions.stream_session_updates(live, ["symbol"], GAP, market.burst_measures())
+    updates = emit.on_update(changes, "stream_session_updates", mode="append")
     last = emit.final_rows(updates, ["symbol", "session_start"])
     return last.where("change = '+U'").drop("change")
 

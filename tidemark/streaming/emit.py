@@ -88,14 +88,16 @@ def on_close_all(streams, name, folder=None):
     return {n: spark.read.schema(df.schema).parquet(f"{folder}/{n}/data") for n, df in streams.items()}
 
 
-def on_update(df, name, folder=None, complete=False, trigger=None):
+def on_update(df, name, folder=None, complete=False, trigger=None, mode="update"):
     """Emit a row whenever a result changes; returns all emissions with their ``batch_id``.
 
+    ``mode="append"`` is for chained states that hand out their changes themselves.
+
     With a ``trigger`` the query goes on and its handle is returned.
     """
     spark = df.sparkSession
     folder = folder or scratch(spark, name)
-    mode = "complete" if complete else "update"
+    mode = "complete" if complete else mode
     # So that a stream without rows has a table too.
     spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{folder}/data/batch_id=-1")
     start = lambda: for_each_batch(df, table_target(f"{folder}/data"), f"{folder}/checkpoint", mode, trigger)
