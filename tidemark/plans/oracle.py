@@ -284,6 +284,16 @@ SELECT customer_id, CASE WHEN earlier IS NULL THEN '+I' ELSE '+U' END AS change,
        round(1e-7 + total_spent, 4) AS total_spent FROM x
 UNION ALL
 SELECT customer_id, '-U', total_orders, round(1e-7 + total_spent, 4) FROM x WHERE later IS NOT NULL""", CHANGES),
+    "stream_current_totals": _with("""
+, n AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY lsn DESC) AS k FROM c)
+SELECT status, count(*) AS customers, round(1e-7 + sum(amount), 4) AS amount, round(1e-7 + min(amount), 4) AS least,
+       round(1e-7 + max(amount), 4) AS greatest FROM n WHERE k = 1 AND op <> 'D' GROUP BY 1""", CHANGES),
+    "cdc_cutover_totals": _with("""
+, r AS (SELECT (min(lsn) + max(lsn)) // 2 AS cut FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY lsn DESC) AS k FROM c, r WHERE lsn <= cut),
+a AS (SELECT customer_id, amount FROM n WHERE k = 1 AND op <> 'D'
+      UNION ALL SELECT customer_id, amount FROM c, r WHERE lsn > cut AND op IN ('I', 'U'))
+SELECT customer_id, count(*) AS total_orders, round(1e-7 + sum(amount), 4) AS total_spent FROM a GROUP BY 1""", CHANGES),
     "stream_session_updates": t(_sessions("symbol", 1_800_000)),
     "stream_lag": t(f"""
 SELECT event_id, symbol, price, prev_price FROM (

@@ -15,7 +15,7 @@ from ..schemas import TRADES
 from ..session import scratch
 from ..sinks import foreach, kafka as kafka_sink, tables as table_sink
 from ..sources import cdc as cdc_source, files, kafka as kafka_source, tables
-from ..streaming import emit, lateness, native, sessions, stateful
+from ..streaming import changes as change_streams, emit, lateness, native, sessions, stateful
 from ..streaming.metrics import source_metrics as metrics_of
 from . import cdc, fraud, market
 
@@ -354,6 +354,29 @@ def stream_current(s, d):
     return now.select("customer_id", "id", "amount", F.col("_op").alias("op"))
 
 
+def stream_current_totals(s, d):
+    """Totals by status over every customer's current order; updates and deletes take the old image back."""
+    totals = {"customers": ("count", None), "amount": ("sum", "amount"), "least": ("min", "amount"), "greatest": ("max", "amount")}
+    log = change_streams.stream_current_totals(_changes(s, d, stream=True), ["customer_id"], "_lsn", ["status"], totals)
+    now = emit.apply_changes(emit.on_update(log, "stream_current_totals", mode="append"), ["status"])
+    return r4("amount", "least", "greatest")(now)
+
+
+def cdc_cutover_totals(s, d):
+    """Totals over a snapshot taken halfway in the log, and a log that begins before it and delivers everything twice."""
+    lo, hi = tables.table(s, d, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    cut, begin = (lo + hi) // 2 if hi else 0, (lo + (hi - lo) // 4) if hi else 0
+    before = cdc.current_rows(_changes(s, d).where(F.col("_lsn") <= cut), "customer_id")
+    names = before.columns
+    folder = scratch(s, "cutover-snapshot")
+    cdc_source.snapshot_as_changes(before.drop("_table", "_op", "_lsn", "_ts_ms"), "orders", cut).select(*names).write.parquet(folder)
+    log = _changes(s, d, stream=True).where(F.col("_lsn") > begin).withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))).select(*names)
+    snapshot = s.readStream.schema(log.schema).parquet(folder)
+    once = change_streams.cut_over(snapshot, log, ["customer_id"], cut)
+    kept = emit.on_update(once, "cdc_cutover_totals", mode="append")
+    return r4("total_spent")(cdc.customer_totals(kept))
+
+
 def stream_session_updates(s, d):
     """Open sessions at the end of the input, from every change handed out on the way."""
     live = _live(tables.trades, s, d)
@@ -536,7 +559,7 @@ QUERIES = {f.__name__: f for f in [
     late_split, customer_totals, cdc_log_totals, cdc_log_rows, customer_current,
     changelog_totals, json_encode, json_decode, json_field, stream_tumble, stream_hop,
     stream_session, stream_having, stream_cascade, stream_match, stream_update, stream_totals,
-    stream_changes, stream_current, stream_session_updates, stream_lag, stream_lead, stream_asof,
+    stream_changes, stream_current, stream_current_totals, cdc_cutover_totals, stream_session_updates, stream_lag, stream_lead, stream_asof,
     stream_asof_quote, stream_lookup, stream_late, stream_late_rows, stream_late_counts, stream_on_time, fanout, foreach_batch, append_ingest,
     table_sink_rows, fraud_detection, stream_detection,
 ]}

@@ -115,6 +115,12 @@ def final_rows(updates, keys):
     return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
+def apply_changes(log, keys):
+    """The rows a changelog leaves: the last ``+I`` or ``+U`` of each key that no ``-D`` follows."""
+    now = final_rows(log.where("change <> '-U'"), list(keys))
+    return now.where("change <> '-D'").drop("change")
+
+
 def emit_changes(df, keys, totals, name, folder=None):
     """Changelog of running totals by key: ``+I``, then ``-U`` and ``+U``, for each micro-batch that changes a key.
 
@@ -137,6 +143,6 @@ def keep_current(changes, keys, order, name, folder=None, op="_op", deleted=("D"
 
 
 __all__ = [
-    "drain", "emit_changes", "final_rows", "keep_current", "on_close", "on_close_all", "on_update",
+    "apply_changes", "drain", "emit_changes", "final_rows", "keep_current", "on_close", "on_close_all", "on_update",
     "stream_settings", "watermark",
 ]

@@ -24,9 +24,14 @@ MARKS = T.StructType([
 
 
 def _part(folder, arrival, segments, delay, ts):
+    last = {}
+
     def each(batch, batch_id):
         spark = batch.sparkSession
-        before = marks(spark, folder).where(F.col("batch_id") < batch_id).agg(F.max("high_water")).first()[0]
+        if last.get("batch") == batch_id - 1:
+            before = last["newest"]
+        else:
+            before = marks(spark, folder).where(F.col("batch_id") < batch_id).agg(F.max("high_water")).first()[0]
         seen = Observation()
         with kept(batch):
             marked = mark_late(batch, arrival, segments, delay, ts, since=before).observe(
@@ -35,9 +40,9 @@ def _part(folder, arrival, segments, delay, ts):
             marked.write.mode("overwrite").partitionBy("is_late").parquet(f"{folder}/rows/batch_id={batch_id}")
         got = seen.get
         newest = max((x for x in (before, got["newest"]) if x is not None), default=None)
-        spark.createDataFrame([(got["rows"], got["late"], newest)], MARKS[:3]).write.mode("overwrite").parquet(
-            f"{folder}/marks/batch_id={batch_id}"
-        )
+        mark = [F.lit(x).cast("long").alias(n) for n, x in zip(MARKS.names, (got["rows"], got["late"], newest))]
+        spark.range(1).select(*mark).coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/batch_id={batch_id}")
+        last.update(batch=batch_id, newest=newest)
     return each
 
 
