@@ -94,3 +94,19 @@ def test_clean_cuts_and_drops(spark, frame):
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(
         [(2, f"{filler} . end"), (2, "other"), (3, filler), (4, None)], key=repr)
+
+
+def test_clean_leaves_clashing_columns(spark, frame):
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = frame([(1, passage), (2, f"{'plain ' * 600}{passage}"), (3, "x")])
+    names = ["own_key", "hit_id", "hit_key", "HIT_SPANS", "hit_bad", "_hit_text", "text_key", "spans"]
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(f"v{k}"))
+    got = decontam.clean(docs, bench(spark, [(9, passage)]))
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], tuple(r[n] for n in names)) for r in got.collect()) == [(i, tuple(f"v{k}" for k in range(8))) for i in (2, 3)]
+
+
+def test_clean_of_empty_tables(spark, frame):
+    assert decontam.clean(frame([]), bench(spark, [(9, "a b")])).count() == 0
+    assert decontam.clean(frame([(1, "a b")]), bench(spark, [])).count() == 1

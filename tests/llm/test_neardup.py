@@ -109,3 +109,21 @@ def test_drop_keeps_one_row_of_a_group(spark, frame):
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(
         [(1, "A b c d e f"), (2, None), (None, "x"), (4, "other words here")], key=repr)
+
+
+def test_unlike_texts_of_one_id_both_stay(spark):
+    rows = [(1, "a b c d e f g", {"k": 1}), (1, "v w x y z u t", {"k": 2}), (1, "a b c d e f g", {"k": 0}), (2, "A b c d e f g", {"k": 3}), (3, "", None), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row map<string,int>").withColumnRenamed("_row", "row")
+    got = neardup.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"] or "", r["row"]) for r in got.collect()), key=repr) == sorted(
+        [(1, "a b c d e f g", {"k": 0}), (1, "v w x y z u t", {"k": 2}), (3, "", None)], key=repr)
+
+
+def test_large_buckets_are_cut(spark, frame, monkeypatch):
+    monkeypatch.setattr(neardup, "PART_MEMBERS", 3)
+    rng = random.Random(8)
+    shared = " ".join(f"s{k}" for k in range(80))
+    docs = [(k, shared + " " + " ".join(f"o{rng.randrange(10_000)}" for _ in range(14))) for k in range(40)]
+    docs += [(100 + k, docs[k][1] + " x") for k in range(0, 40, 3)]
+    assert sorted(map(tuple, neardup.groups(frame(docs)).collect())) == sorted(brute(docs))

@@ -124,3 +124,14 @@ def test_no_python_on_the_executors(spark, data):
     df = queries.op5_personal_data(spark, data)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_mask_leaves_clashing_columns(spark, frame):
+    docs = frame([(1, "mail a@b.co"), (2, "plain"), (2, None)])
+    names = ["own_key", "pii_id", "PII_KEY", "pii_spans", "_pii_text", "doc", "spans"]
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(f"v{k}"))
+    got = pii.mask(docs)
+    assert got.columns == docs.columns
+    assert all(tuple(r[n] for n in names) == tuple(f"v{k}" for k in range(7)) for r in got.collect()) and got.count() == 3
+    assert pii.mask(frame([])).count() == 0

@@ -30,6 +30,16 @@ def col(name):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_names(df, *names):
+    """The names, with underscores added until no column of the frame is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def texts(docs, id_col="doc_id", text_col="text"):
     """Only the id and the text (null: empty), so that other columns can never clash."""
     return docs.select(

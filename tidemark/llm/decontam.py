@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
-from .common import col, parts, slices, texts, words
+from .common import col, free_names, parts, slices, texts, words
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
@@ -331,12 +331,12 @@ def clean(docs, benchmark, id_col="doc_id", text_col="text", **options):
     All columns stay as they are, but for a text where something was cut.
     """
     hits = scan(docs, benchmark, id_col, text_col, keyed=True, **options).where("n_hit > 0")
+    own, item, item_key, spans, bad = free_names(docs, "own_key", "hit_id", "hit_key", "hit_spans", "hit_bad")
     hits = hits.dropDuplicates(["doc_id", "text_key"]).select(
-        F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key"),
-        F.col("spans").alias("_hit_spans"), contaminated().alias("_hit_bad"),
+        F.col("doc_id").alias(item), F.col("text_key").alias(item_key), F.col("spans").alias(spans), contaminated().alias(bad),
     )
     key = F.sha2(F.coalesce(col(text_col).cast("string"), F.lit("")), 256)
-    joined = docs.withColumn("_hit_text", key).join(
-        hits, F.col("_hit_id").eqNullSafe(col(id_col).cast("long")) & (F.col("_hit_key") == F.col("_hit_text")), "left"
-    ).where(~F.coalesce("_hit_bad", F.lit(False)))
-    return joined.withColumn(text_col, _cut()(col(text_col), "_hit_spans")).select(*map(col, docs.columns))
+    joined = docs.withColumn(own, key).join(
+        hits, F.col(item).eqNullSafe(col(id_col).cast("long")) & (F.col(item_key) == F.col(own)), "left"
+    ).where(~F.coalesce(bad, F.lit(False)))
+    return joined.withColumn(text_col, _cut()(col(text_col), spans)).select(*map(col, docs.columns))

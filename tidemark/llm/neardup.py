@@ -27,6 +27,8 @@ BANDS, ROWS = 42, 6
 STAR_ROUNDS = 1
 CELLS = 1024
 CENTRE_MEMBERS = 500
+# A bucket's pairs are made in as many places as pairs of parts of so many members.
+PART_MEMBERS = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,7 +104,8 @@ def _parity(shingles):
 
 
 def signatures(docs, size, bands, rows):
-    """Set size, set digest, band keys and parities of each row of ``texts``."""
+    """Set size, set digest, band keys and parities of each row of ``texts``; further columns are kept."""
+    more = docs.columns[2:]
 
     def sign(batches):
         shingle, signer = Shingler(size), Signer(bands, rows)
@@ -115,10 +118,10 @@ def signatures(docs, size, bands, rows):
                     piece.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys), pa.int64())),
-                    pa.array([_parity(s) for s in sets], pa.list_(pa.int64())),
-                ], names=_SIGNED.names)
+                    pa.array([_parity(s) for s in sets], pa.list_(pa.int64())), *piece.columns[2:],
+                ], names=[*_SIGNED.names, *more])
 
-    return docs.mapInArrow(sign, _SIGNED)
+    return docs.mapInArrow(sign, T.StructType([*_SIGNED.fields, *(docs.schema[c] for c in more)]))
 
 
 def _packed(docs, wanted, size):
@@ -201,7 +204,13 @@ def _grow(known, links):
     return store(old.unionByName(new.join(known.select("node"), "node", "left_anti")), "components")
 
 
-def groups(docs, id_col="doc_id", text_col="text", size=3, percent=85, bands=BANDS, rows=ROWS, star_rounds=STAR_ROUNDS):
+def _in_parts(rest):
+    """Rows of each bucket with a part of it (``part``) and into how many it is cut (``cut``)."""
+    cut = rest.groupBy("key").agg(F.ceil(F.count("*") / PART_MEMBERS).cast("int").alias("cut"))
+    return rest.join(cut, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
+
+
+def groups(docs, id_col="doc_id", text_col="text", size=3, percent=85, bands=BANDS, rows=ROWS, star_rounds=STAR_ROUNDS, keyed=False):
     """Set size, component and whether the row is kept, for every row.
 
     Linked are documents whose sets of ``size``-word shingles have a Jaccard
@@ -211,9 +220,12 @@ def groups(docs, id_col="doc_id", text_col="text", size=3, percent=85, bands=BAN
 
     Null and empty texts have no shingles and stay alone. A row without an id is
     kept and has no component. Rows of one id count as documents of their own that
-    share the id; each is returned.
+    share the id; each is returned. ``keyed`` adds ``text_key`` (SHA-256 of the text) and
+    ``group``, which tells components apart even if ids repeat (null: no shingles or no id).
     """
     named = texts(docs, id_col, text_col)
+    if keyed:
+        named = named.withColumn("text_key", F.sha2("text", 256))
     signed = store(signatures(named, size, bands, rows), "signatures")
     # One class for all documents of a set, named by the set's digest.
     classes = store(
@@ -250,9 +262,13 @@ def groups(docs, id_col="doc_id", text_col="text", size=3, percent=85, bands=BAN
             first = rest.where("node = centre").select("key", *side("a"))
             pairs = first.join(rest.select("key", *side("b")), "key").where((F.col("ca") != F.col("cb")) & sized)
         else:
-            rest = store(rest.join(classes.select("node", "parity"), "node"), "rest")
-            first, other = (rest.select("key", *side(x), F.col("parity").alias(f"p{x}")) for x in "ab")
-            pairs = first.join(other, "key").where((F.col("ca") < F.col("cb")) & sized & near)
+            rest = store(_in_parts(rest.join(classes.select("node", "parity"), "node")), "rest")
+            every = F.explode(F.sequence(F.lit(0), F.col("cut") - 1))
+            first, other = (
+                rest.select("key", *side(x), F.col("parity").alias(f"p{x}"), mine.alias("left_part"), theirs.alias("right_part"))
+                for x, mine, theirs in (("a", F.col("part"), every), ("b", every, F.col("part")))
+            )
+            pairs = first.join(other, ["key", "left_part", "right_part"]).where((F.col("ca") < F.col("cb")) & sized & near)
         pairs = store(pairs.select("a", "b").distinct(), "pairs")
         if pairs.isEmpty():
             continue
@@ -263,26 +279,33 @@ def groups(docs, id_col="doc_id", text_col="text", size=3, percent=85, bands=BAN
     if known is not None:
         of = of.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = of.groupBy("component").agg(F.min("doc_id").alias("least"))
-        of = of.join(least, "component").select("node", "least")
+        of = of.join(least, "component").select("node", "least", "component")
     else:
-        of = of.withColumnRenamed("doc_id", "least")
-    out = signed.select("doc_id", "n_shingles", F.col("digest").alias("node")).join(of, "node", "left")
+        of = of.select("node", F.col("doc_id").alias("least"), F.col("node").alias("component"))
+    more = ["text_key", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("group")] if keyed else []
+    out = signed.select("doc_id", "n_shingles", F.col("digest").alias("node"), *(["text_key"] if keyed else [])).join(of, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), *more).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs, id_col="doc_id", text_col="text", size=5, percent=80, **options):
     """The documents that stand for their group, one row each, with all columns as they are.
 
-    The row of the least id stays, of several rows of that id the one of the least
-    text. Rows without an id stay.
+    The row of the least id stays, of several texts of that id in one group that of the
+    least SHA-256. Rows that repeat an id and its text are one document, and the row whose
+    other columns are least as JSON stays. Rows without an id stay, and so does the text
+    without words of each id. Unlike texts under one id are documents of their own.
     """
-    kept = groups(docs, id_col, text_col, size, percent, **options).where("doc_id IS NOT NULL AND kept")
-    keep = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    key = col(id_col).cast("long")
-    stay = docs.join(keep, key == F.col("_kept_id"))
-    # The text comes first and stands in the row once.
-    row = F.struct(col(text_col), *(col(c) for c in docs.columns if c != text_col))
-    one = stay.groupBy("_kept_id").agg(F.min(row).alias("_row")).select("_row.*").select(*map(col, docs.columns))
+    found = groups(docs, id_col, text_col, size, percent, keyed=True, **options).where("doc_id IS NOT NULL AND kept")
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    keep = found.where(F.col("group").isNotNull()).groupBy("group").agg(first).select("first.*")
+    keep = keep.unionByName(found.where(F.col("group").isNull()).select("doc_id", "text_key").distinct())
+    # A row travels as one struct, so no column of it can clash.
+    key, others = col(id_col).cast("long"), [col(c) for c in docs.columns if c != text_col]
+    rows = docs.select(
+        key.alias("doc_id"), F.sha2(F.coalesce(col(text_col).cast("string"), F.lit("")), 256).alias("text_key"),
+        F.struct(*map(col, docs.columns)).alias("row"), F.to_json(F.struct(*others)).alias("rank"),
+    )
+    one = rows.join(keep, ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(F.min_by("row", "rank").alias("row")).select("row.*")
     return one.unionByName(docs.where(key.isNull()))

@@ -14,7 +14,7 @@ texts of any length are read in linear time.
 
 from pyspark.sql import Window, functions as F
 
-from .common import col, store, texts
+from .common import col, free_names, store, texts
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -228,13 +228,14 @@ def _islands(spans):
 def mask(docs, id_col="doc_id", text_col="text", **options):
     """All rows and columns as they are, with [EMAIL], [IP], [CARD] or [PHONE] for each span of the text."""
     found = find(docs, id_col, text_col, **options).where(F.size("spans") > 0)
+    own, owner, owner_key, marked = free_names(docs, "own_key", "pii_id", "pii_key", "pii_spans")
     # Equal rows have equal spans, but for their order in the table.
-    marks = found.groupBy(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key")).agg(F.max("spans").alias("_pii_spans"))
-    marks = marks.withColumn("_pii_spans", _islands(F.col("_pii_spans")))
+    marks = found.groupBy(F.col("doc_id").alias(owner), F.col("text_key").alias(owner_key)).agg(F.max("spans").alias(marked))
+    marks = marks.withColumn(marked, _islands(F.col(marked)))
     key = F.sha2(F.coalesce(col(text_col).cast("string"), F.lit("")), 256)
-    joined = docs.withColumn("_pii_text", key).join(
-        marks, F.col("_pii_id").eqNullSafe(col(id_col).cast("long")) & (F.col("_pii_key") == F.col("_pii_text")), "left")
-    text, spans = col(text_col), F.col("_pii_spans")
+    joined = docs.withColumn(own, key).join(
+        marks, F.col(owner).eqNullSafe(col(id_col).cast("long")) & (F.col(owner_key) == F.col(own)), "left")
+    text, spans = col(text_col), F.col(marked)
     label = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"]).cast("int")
     pieces = F.transform(spans, lambda s, i: F.concat(
