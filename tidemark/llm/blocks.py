@@ -7,11 +7,14 @@ blocks, and the answers meet the block again by its id. A key that is in every
 document is asked for once a block, so no key is hot.
 """
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import types as T
 
+from ..session import scratch
 from .common import slices, squeeze, texts, unsqueeze
 
 BLOCK = T.StructType([T.StructField("block", T.LongType()), T.StructField("blob", T.BinaryType())])
@@ -72,6 +75,20 @@ def make_blocks(docs, id_col="doc_id", text_col="text", block_bytes=8 << 20):
     return texts(docs, id_col, text_col).mapInArrow(cut, BLOCK)
 
 
+def store_by_block(blocks, files):
+    """Blocks written to the shared folder in ``files`` buckets by their id, and read back.
+
+    What is grouped or cogrouped by the id then reads the blocks where they lie; only the
+    other side is shuffled to them.
+    """
+    spark, name = blocks.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    blocks.write.bucketBy(files, "block").option("path", scratch(spark, "blocks")).saveAsTable(name)
+    kept = spark.table(name)
+    # The frame knows its files; the name is not needed any more, and dropping it leaves them.
+    spark.sql(f"DROP TABLE {name}")
+    return kept
+
+
 def by_bucket(hashes, buckets):
     """Order of hashed keys by bucket and key, and the bounds of each bucket in it."""
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)

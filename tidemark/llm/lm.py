@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F, types as T
 
-from .blocks import by_bucket, make_blocks, unpack
+from .blocks import by_bucket, make_blocks, store_by_block, unpack
 from .common import parts, planes, store, text_bytes, texts, tokens, unplanes
 
 ORDER = 3
@@ -103,7 +103,8 @@ def _ask(order, buckets, modulus, remainder):
                     for b in range(buckets):
                         some = by[bounds[b] : bounds[b + 1]]
                         if len(some):
-                            rows.append((b, size, planes(np.diff(keys[some], prepend=np.uint64(0))), planes(counts[some])))
+                            # Keys of a bucket leave one remainder, so their quotients tell them apart.
+                            rows.append((b, size, planes(np.diff(keys[some] // np.uint64(buckets), prepend=np.uint64(0))), planes(counts[some])))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
                     pa.array([block] * len(rows), pa.int64()),
@@ -194,7 +195,7 @@ def score(docs, id_col="doc_id", text_col="text", modulus=7, remainder=2, order=
     rows = texts(docs, id_col, text_col)
     total, _ = text_bytes(rows)
     buckets = parts(total, bucket_bytes)
-    blocks = store(make_blocks(docs, id_col, text_col, block_bytes), "blocks")
+    blocks = store_by_block(make_blocks(docs, id_col, text_col, block_bytes), parts(total, 2 * block_bytes))
     asked = blocks.mapInArrow(_ask(order, buckets, modulus, remainder), _ASK)
     answers = store(asked.repartition(buckets * order, "bucket", "size").groupBy("bucket", "size").applyInArrow(_answer, _ANSWER), "counts")
     known = answers.where("size = 0").groupBy("bucket").agg(F.max("total").alias("total"), F.max("distinct").alias("distinct"))
