@@ -27,8 +27,8 @@ BANDS, ROWS = 42, 6
 STAR_ROUNDS = 1
 CELLS = 1024
 CENTRE_MEMBERS = 500
-# A bucket's pairs are made in as many places as pairs of parts of so many members.
-PART_MEMBERS = 256
+# A bucket is cut in parts of so many members, so that no task makes more than their square of pairs.
+PART_MEMBERS = 8192
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
