@@ -295,6 +295,14 @@ a AS (SELECT customer_id, amount FROM n WHERE k = 1 AND op <> 'D'
       UNION ALL SELECT customer_id, amount FROM c, r WHERE lsn > cut AND op IN ('I', 'U'))
 SELECT customer_id, count(*) AS total_orders, round(1e-7 + sum(amount), 4) AS total_spent FROM a GROUP BY 1""", CHANGES),
     "stream_session_updates": t(_sessions("symbol", 1_800_000)),
+    "stream_recent": t("""
+SELECT * FROM (SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank,
+                      event_id, price, volume, ts FROM t) WHERE rank <= 50"""),
+    "stream_latest": t("""
+SELECT symbol, arg_max(price, seq) AS price, arg_max(ts, seq) AS ts FROM t GROUP BY 1"""),
+    "stream_throughput": t(f"""
+SELECT * FROM (SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY tick DESC) AS INTEGER) AS rank, tick, rows FROM (
+  SELECT symbol, (ts // {HOUR}) * {HOUR} AS tick, count(*) AS rows FROM t GROUP BY 1, 2)) WHERE rank <= 60"""),
     "stream_lag": t(f"""
 SELECT event_id, symbol, price, prev_price FROM (
   SELECT *, lag(price, 1, -1.0) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS prev_price

@@ -15,7 +15,7 @@ from ..schemas import TRADES
 from ..session import scratch
 from ..sinks import foreach, kafka as kafka_sink, tables as table_sink
 from ..sources import cdc as cdc_source, files, kafka as kafka_source, tables
-from ..streaming import changes as change_streams, emit, lateness, native, sessions, stateful
+from ..streaming import changes as change_streams, emit, lateness, native, newest, sessions, stateful
 from ..streaming.metrics import source_metrics as metrics_of
 from . import cdc, fraud, market
 
@@ -30,6 +30,8 @@ SEGMENT = "7 days"
 DELAYS = {tables.trades: "10 seconds", tables.quotes: "20 minutes", tables.orders: "40 minutes"}
 DELAY = DELAYS[tables.trades]
 LATENESS = "3 days"
+# Ticks of the live throughput; in ticks of a second the sparse events have one row each.
+HOUR_MS = 3_600_000
 THRESHOLD, IMPOSSIBLE = 200, 99_999_999
 VERSION_CUT = "1997-01-01"
 
@@ -386,6 +388,25 @@ def stream_session_updates(s, d):
     return last.where("change = '+U'").drop("change")
 
 
+def stream_recent(s, d):
+    """The 50 newest trades of every symbol at the end of the input, from all updates on the way."""
+    rows = tables.trades(s, d, stream=True).select("event_id", "symbol", "price", "volume", "ts")
+    updates = emit.on_update(newest.stream_recent(rows, 50, ["ts", "event_id"], ["symbol"]), "stream_recent", mode="append")
+    return emit.final_rows(updates, ["symbol", "rank"])
+
+
+def stream_latest(s, d):
+    """The newest price of every symbol, handed out anew in each micro-batch that touches the symbol."""
+    now = ranking.latest_by_key(tables.trades(s, d, stream=True), ["symbol"], ["price", "ts"], ["seq"])
+    updates = emit.on_update(now, "stream_latest")
+    return emit.final_rows(updates, ["symbol"])
+
+
+def stream_throughput(s, d):
+    updates = emit.on_update(newest.stream_throughput(tables.trades(s, d, stream=True), ["symbol"], HOUR_MS), "stream_throughput", mode="append")
+    return emit.final_rows(updates, ["symbol", "rank"])
+
+
 _NEIGHBOUR_COLS = ["event_id", "symbol", "price", "ts", "event_time"]
 
 
@@ -559,7 +580,8 @@ QUERIES = {f.__name__: f for f in [
     late_split, customer_totals, cdc_log_totals, cdc_log_rows, customer_current,
     changelog_totals, json_encode, json_decode, json_field, stream_tumble, stream_hop,
     stream_session, stream_having, stream_cascade, stream_match, stream_update, stream_totals,
-    stream_changes, stream_current, stream_current_totals, cdc_cutover_totals, stream_session_updates, stream_lag, stream_lead, stream_asof,
+    stream_changes, stream_current, stream_current_totals, cdc_cutover_totals, stream_session_updates,
+    stream_recent, stream_latest, stream_throughput, stream_lag, stream_lead, stream_asof,
     stream_asof_quote, stream_lookup, stream_late, stream_late_rows, stream_late_counts, stream_on_time, fanout, foreach_batch, append_ingest,
     table_sink_rows, fraud_detection, stream_detection,
 ]}
