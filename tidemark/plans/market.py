@@ -50,6 +50,11 @@ def burst_measures():
     ]
 
 
+def hop_percentiles(trades, size, slide, percent):
+    """Count, extremes and percentiles of the price per symbol and hopping window, as one struct."""
+    return windows.hop_agg(trades, ["symbol"], size, slide, [M.quantiles("price", "prices", percent)])
+
+
 def session_burst(trades, gap, keys=("symbol",)):
     return windows.session_agg(trades, list(keys), gap, burst_measures())
 

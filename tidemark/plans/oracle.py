@@ -77,6 +77,13 @@ SELECT symbol, (ts // {slide} - i) * {slide} AS bar_start,
 FROM t, range(0, {n}) r(i) GROUP BY 1, 2"""
 
 
+# Whether percentiles are within their bound is decided by exact ranks; here it must hold everywhere.
+_PERCENTILES = f"""
+SELECT symbol, (ts // {HOUR} - i) * {HOUR} AS bar_start, count(price) AS n, min(price) AS low, max(price) AS high,
+       true AS p50_in_bound, true AS p99_in_bound
+FROM t, range(0, 6) r(i) GROUP BY 1, 2"""
+
+
 def _match(cols, cond):
     return f"""
 SELECT t.event_id, t.symbol, t.price AS trade_price, t.volume, {cols},
@@ -216,6 +223,7 @@ SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_na
     "percentiles": t("""
 , s AS (SELECT symbol, list(price ORDER BY price) AS v, count(*) AS n FROM t GROUP BY 1)
 SELECT symbol, v[n * 50 // 100 + 1] AS p50, v[least(n * 99 // 100, n - 1) + 1] AS p99 FROM s"""),
+    "hop_percentiles": t(_PERCENTILES),
     "recent_n": t(f"""
 SELECT symbol, bar_start, open, high, low, close, volume FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_start DESC) AS rn
@@ -264,6 +272,7 @@ SELECT symbol AS key, CAST(to_json({'event_id': event_id, 'symbol': symbol, 'pri
     "json_field": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "stream_tumble": t(_wrap(_bars(HOUR), _closed(HOUR))),
     "stream_hop": t(_wrap(_hop(6 * HOUR, HOUR), _closed(6 * HOUR))),
+    "stream_percentiles": t(_wrap(_PERCENTILES, _closed(6 * HOUR))),
     "stream_session": t(_wrap(
         _sessions("symbol", 1_800_000), _closed(0, "session_end + 1800000"))),
     "stream_having": t(_wrap(_COUNTS + " HAVING sum(volume) > 200", _closed(HOUR))),

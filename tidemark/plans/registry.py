@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import json_codec, sql as sql_functions
-from ..functions.time import with_event_time
+from ..functions.time import hop, with_event_time
 from ..operators import joins, late, ranking
 from ..operators.changelog import diff
 from ..schemas import TRADES
@@ -208,6 +208,25 @@ def percentiles(s, d):
     return ranking.percentiles(_trades(s, d), ["symbol"], "price", {"p50": 50, "p99": 99})
 
 
+PERCENT = {"p50": 50, "p99": 99}
+# Percentiles of windows must be within this share of a window's rows.
+RANK_BOUND = 0.01
+
+
+def _within_bound(s, d, windows):
+    """Counts and extremes of windows from their sketches, and whether their percentiles keep the bound."""
+    rows = _trades(s, d).select("symbol", F.unix_millis(hop(HOP_SIZE, HOP_SLIDE)["start"]).alias("bar_start"), "price")
+    found = windows.select("symbol", "bar_start", "prices.*")
+    checked = ranking.rank_errors(rows, found, ["symbol", "bar_start"], "price", PERCENT)
+    return checked.select(
+        "symbol", "bar_start", "n", "low", "high", *[(F.col(f"{p}_error") <= RANK_BOUND).alias(f"{p}_in_bound") for p in PERCENT])
+
+
+def hop_percentiles(s, d):
+    """Percentiles of hopping windows from sketches of their panes."""
+    return _within_bound(s, d, market.hop_percentiles(_trades(s, d), HOP_SIZE, HOP_SLIDE, PERCENT))
+
+
 def recent_n(s, d):
     bars = market.ohlc_full(_trades(s, d), BAR, "seq")
     return ranking.recent_n(bars, 50, ["bar_start"], ["symbol"])
@@ -307,6 +326,12 @@ def stream_hop(s, d):
     ))
 
 
+def stream_percentiles(s, d):
+    """The same on a stream; its state holds sketches of panes and windows."""
+    live = market.hop_percentiles(_live(tables.trades, s, d), HOP_SIZE, HOP_SLIDE, PERCENT)
+    return _within_bound(s, d, emit.on_close(live, "stream_percentiles"))
+
+
 def stream_session(s, d):
     return emit.on_close(market.session_burst(_live(tables.trades, s, d), GAP), "stream_session")
 
@@ -576,9 +601,9 @@ QUERIES = {f.__name__: f for f in [
     session_burst, rapid_fire, ohlc_volatility, wash_score, trade_summary, window_count,
     having_volume, having_impossible, cascade_ohlc, running_totals, interval_match,
     suspicious_match, forward_match, asof_quote, asof_order, asof_order_left, lookup_nation,
-    lag_price, lead_price, percentiles, recent_n, latest_price, throughput, source_metrics,
+    lag_price, lead_price, percentiles, hop_percentiles, recent_n, latest_price, throughput, source_metrics,
     late_split, customer_totals, cdc_log_totals, cdc_log_rows, customer_current,
-    changelog_totals, json_encode, json_decode, json_field, stream_tumble, stream_hop,
+    changelog_totals, json_encode, json_decode, json_field, stream_tumble, stream_hop, stream_percentiles,
     stream_session, stream_having, stream_cascade, stream_match, stream_update, stream_totals,
     stream_changes, stream_current, stream_current_totals, cdc_cutover_totals, stream_session_updates,
     stream_recent, stream_latest, stream_throughput, stream_lag, stream_lead, stream_asof,
