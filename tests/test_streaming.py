@@ -392,6 +392,35 @@ def test_a_failing_stream_stops_the_others(spark, folder):
     assert not spark.streams.active
 
 
+def test_several_streams_go_on_by_trigger(spark, folder):
+    plans = {"bars": lambda t: market.ohlc_full(t, "5 seconds", "ts"), "counts": lambda t: market.window_counts(t, "5 seconds")}
+    live = _live(spark, folder)
+    running = emit.on_close_all({n: p(live) for n, p in plans.items()}, "go", f"{folder}/out", {"processingTime": "100 milliseconds"})
+    try:
+        assert set(running) == set(plans) and all(q.isActive for q in running.values())
+        for q in running.values():
+            q.processAllAvailable()
+        # Rows that come later are taken up by the same queries.
+        spark.createDataFrame([("ZZZ", 1.0, 1, 20_000_000)], TRADES).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        for q in running.values():
+            q.processAllAvailable()
+    finally:
+        for q in running.values():
+            q.stop()
+    for n, plan in plans.items():
+        want = plan(_table(spark))
+        got = spark.read.schema(want.schema).parquet(f"{folder}/out/{n}/data")
+        assert _same(got, want)
+
+
+def test_streams_that_cannot_start_leave_none_running(spark, folder):
+    live = _live(spark, folder)
+    bad = live.groupBy("symbol").count()
+    with pytest.raises(Exception):
+        emit.on_close_all({"counts": market.window_counts(live, "5 seconds"), "bad": bad}, "no", f"{folder}/out", {"processingTime": "100 milliseconds"})
+    assert not spark.streams.active
+
+
 def test_progress_listener(spark, folder):
     log = ProgressLog(spark, f"{folder}/log")
     spark.streams.addListener(log)

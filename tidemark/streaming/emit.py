@@ -68,23 +68,30 @@ def on_close(df, name, folder=None, trigger=None):
     return spark.read.schema(df.schema).parquet(f"{folder}/data")
 
 
-def on_close_all(streams, name, folder=None):
+def on_close_all(streams, name, folder=None, trigger=None):
     """Several streams at once, each its own query and checkpoint; returns result tables by name.
 
-    If one fails, the others are stopped.
+    If one fails, the others are stopped. With a ``trigger`` (such as
+    ``{"processingTime": "1 second"}``) the queries go on and their handles are returned by
+    name; the results are in ``folder``/<name>/data.
     """
     spark = next(iter(streams.values())).sparkSession
     folder = folder or scratch(spark, name)
-    running = []
+    running, done = {}, False
     with stream_settings(spark):
         try:
             for n, df in streams.items():
-                running.append(stream_to_table(df, f"{folder}/{n}/data", f"{folder}/{n}/checkpoint"))
-            for query in running:
-                query.awaitTermination()
+                running[n] = stream_to_table(df, f"{folder}/{n}/data", f"{folder}/{n}/checkpoint", trigger=trigger)
+            if not trigger:
+                for query in running.values():
+                    query.awaitTermination()
+            done = True
         finally:
-            for query in running:
-                query.stop()
+            if not (done and trigger):
+                for query in running.values():
+                    query.stop()
+    if trigger:
+        return running
     return {n: spark.read.schema(df.schema).parquet(f"{folder}/{n}/data") for n, df in streams.items()}
 
 
