@@ -1,5 +1,6 @@
 """Streams over several micro-batches against the batch form or brute force."""
 
+import json
 import os
 import random
 
@@ -14,7 +15,8 @@ from tidemark.schemas import CDC_ENVELOPE, KAFKA_RECORD, LOG_LINE, ORDERS, TRADE
 from tidemark.sinks import foreach, kafka as kafka_sink, tables as table_sink
 from tidemark.sources import cdc as cdc_source, files, kafka as kafka_source
 from tidemark.streaming import emit, lateness, native, sessions, stateful
-from tidemark.streaming.metrics import PROGRESS, ProgressLog, _progress_rows, source_metrics
+from tidemark.streaming.metrics import source_metrics
+from tidemark.streaming.progress import PROGRESS, progress_row
 
 SYMBOLS = ["AAPL", "GOOGL", "MSFT", "AMZN", "TSLA"]
 END = ("ZZZ", 1.0, 1, 10_000_000)
@@ -112,9 +114,9 @@ def test_late_rows_are_dropped_and_counted(spark, folder):
         spark, lambda: table_sink.stream_to_table(live, f"{folder}/out", f"{folder}/ck"))
     seen = {r.symbol for r in spark.read.parquet(f"{folder}/out").collect()}
     assert seen >= {"AAPL", "MSFT"} and "LATE" not in seen
-    log = spark.createDataFrame([r for p in query.recentProgress for r in _progress_rows(p)], PROGRESS)
-    assert log.agg(F.sum("rows_dropped_late")).first()[0] > 0
-    assert log.agg(F.sum("rows")).first()[0] == 11
+    log = spark.createDataFrame([progress_row(json.loads(p.json)) for p in query.recentProgress], PROGRESS)
+    assert log.agg(F.sum("groups_dropped_late")).first()[0] > 0
+    assert log.agg(F.sum("rows_in")).first()[0] == 11
 
 
 ORDER_ROWS = [
@@ -421,22 +423,6 @@ def test_streams_that_cannot_start_leave_none_running(spark, folder):
     assert not spark.streams.active
 
 
-def test_progress_listener(spark, folder):
-    log = ProgressLog(spark, f"{folder}/log")
-    spark.streams.addListener(log)
-    try:
-        emit.on_close(market.window_counts(_live(spark, folder, [BATCHES[0], [END]]), "5 seconds"),
-                      "p", f"{folder}/out")
-        import time
-        for _ in range(50):
-            if os.path.exists(f"{folder}/log") and log.table().agg(F.sum("rows")).first()[0] == 31:
-                break
-            time.sleep(0.2)
-    finally:
-        spark.streams.removeListener(log)
-    assert log.table().agg(F.sum("rows")).first()[0] == 31
-
-
 # --- sources and sinks ----------------------------------------------------------------
 
 def test_append_checks_schema_and_counts(spark, folder):

@@ -352,6 +352,22 @@ SELECT batch_id, rows_in, rows_late, rows_on_time, max(newest) OVER (ORDER BY ba
 , k AS (SELECT * FROM m WHERE NOT coalesce(ts < watermark, false))
 SELECT symbol, (ts // {HOUR}) * {HOUR} AS bar_start, count(*) AS cnt FROM k
 GROUP BY 1, 2 HAVING bar_start + {HOUR} <= (SELECT max(ts) - 259200000 FROM k)"""),
+    # A micro-batch closes windows by the newest time of those before it; the last one has no rows.
+    "stream_progress": t(_SHUFFLED + f"""
+, r AS (SELECT min(place) AS lo, max(place) - min(place) + 1 AS span FROM m),
+s AS (SELECT (place - r.lo) * 8 // r.span AS batch_id, coalesce(ts < watermark, false) AS late FROM m, r),
+p AS (SELECT min(event_id) AS lo, max(event_id) - min(event_id) + 1 AS span FROM t),
+e AS (SELECT ts, (event_id - p.lo) * 8 // p.span AS batch_id FROM t, p),
+i AS (SELECT batch_id, count(*) AS rows_in, max(ts) AS newest FROM e GROUP BY 1),
+k AS (SELECT x AS batch_id, max(newest) - {DELAY} AS mark FROM range(0, 9) n(x) LEFT JOIN i ON i.batch_id < x GROUP BY 1),
+w AS (SELECT DISTINCT symbol, (ts // {HOUR}) * {HOUR} AS bar_start FROM t),
+f AS (SELECT symbol, bar_start, min(batch_id) AS batch_id FROM w JOIN k ON bar_start + {HOUR} <= mark GROUP BY 1, 2),
+g AS (SELECT batch_id, count(*) AS rows_out FROM f GROUP BY 1)
+SELECT 'late_split' AS query, batch_id, count(*) AS rows_in, count(*) FILTER (late) AS rows_late,
+       count(*) FILTER (NOT late) AS rows_out FROM s GROUP BY 2
+UNION ALL
+SELECT 'bars', k.batch_id, coalesce(rows_in, 0), 0, coalesce(rows_out, 0)
+FROM k LEFT JOIN i USING (batch_id) LEFT JOIN g USING (batch_id) WHERE coalesce(rows_in, 0) + coalesce(rows_out, 0) > 0"""),
     "fanout": t(f"""
 , r AS (SELECT * FROM ({_SUMMARY}) WHERE {_closed(HOUR)})
 SELECT *, 'table' AS target FROM r UNION ALL SELECT *, 'topic' AS target FROM r"""),

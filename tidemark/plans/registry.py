@@ -15,7 +15,7 @@ from ..schemas import TRADES
 from ..session import scratch
 from ..sinks import foreach, kafka as kafka_sink, tables as table_sink
 from ..sources import cdc as cdc_source, files, kafka as kafka_source, tables
-from ..streaming import changes as change_streams, emit, lateness, native, newest, sessions, stateful
+from ..streaming import changes as change_streams, emit, lateness, native, newest, progress, sessions, stateful
 from ..streaming.metrics import source_metrics as metrics_of
 from . import cdc, fraud, market
 
@@ -492,12 +492,12 @@ def stream_late(s, d):
     return emit.on_close(market.window_counts(live, BAR), "stream_late")
 
 
-def _shuffled(s, d):
+def _shuffled(s, d, query=None):
     """Trades in shuffled order, parted into on-time and late rows before anything else; folder and schema."""
-    live = tables.trades(s, d, stream=True, order=SHUFFLED).select(
+    live = progress.counted_in(tables.trades(s, d, stream=True, order=SHUFFLED)).select(
         "event_id", "symbol", "ts", F.expr(SHUFFLED).alias("arrival"), F.floor(F.col("event_id") / 1_000_000).cast("long").alias("run"),
     )
-    folder = lateness.split_stream(live, ["arrival", "event_id"], ["arrival", "run"], LATENESS, "stream_late_rows")
+    folder = lateness.split_stream(live, ["arrival", "event_id"], ["arrival", "run"], LATENESS, "stream_late_rows", query=query)
     return folder, live.schema
 
 
@@ -521,6 +521,23 @@ def stream_on_time(s, d):
     return emit.on_close(market.window_counts(live, BAR), "stream_on_time")
 
 
+def stream_progress(s, d):
+    """What every micro-batch of two running queries took, found late and gave out, from their progress.
+
+    ``bars`` closes windows over trades in arrival order, ``late_split`` parts trades in shuffled order.
+    """
+    with progress.ProgressLog(s, scratch(s, "stream_progress")) as log:
+        live = emit.watermark(progress.counted_in(tables.trades(s, d, stream=True), "trades"), DELAY)
+        emit.on_close(progress.counted_out(market.ohlc_full(live, BAR, "seq")), "stream_progress_bars", query="bars")
+        folder, _ = _shuffled(s, d, query="late_split")
+        log.wait(2)
+        seen = log.table()
+    split = lateness.marks(s, folder).select(F.lit("late_split").alias("query"), "batch_id", "rows_late")
+    rows = seen.join(split, ["query", "batch_id"], "left").withColumn("rows_late", F.coalesce("rows_late", "groups_dropped_late"))
+    out = F.coalesce("rows_out", F.col("rows_in") - F.col("rows_late"))
+    return rows.select("query", "batch_id", "rows_in", "rows_late", out.alias("rows_out")).where("rows_in + rows_out > 0")
+
+
 # --- sinks -------------------------------------------------------------------------
 
 def fanout(s, d):
@@ -607,6 +624,6 @@ QUERIES = {f.__name__: f for f in [
     stream_session, stream_having, stream_cascade, stream_match, stream_update, stream_totals,
     stream_changes, stream_current, stream_current_totals, cdc_cutover_totals, stream_session_updates,
     stream_recent, stream_latest, stream_throughput, stream_lag, stream_lead, stream_asof,
-    stream_asof_quote, stream_lookup, stream_late, stream_late_rows, stream_late_counts, stream_on_time, fanout, foreach_batch, append_ingest,
+    stream_asof_quote, stream_lookup, stream_late, stream_late_rows, stream_late_counts, stream_on_time, stream_progress, fanout, foreach_batch, append_ingest,
     table_sink_rows, fraud_detection, stream_detection,
 ]}

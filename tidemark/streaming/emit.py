@@ -52,15 +52,16 @@ def drain(spark, start):
     return query
 
 
-def on_close(df, name, folder=None, trigger=None):
+def on_close(df, name, folder=None, trigger=None, query=None):
     """Emit each window once, when the watermark passes its end; returns the result table.
 
     With a ``trigger`` (such as ``{"processingTime": "1 second"}``) the query goes on and
-    its handle is returned; the results are in ``folder``/data.
+    its handle is returned; the results are in ``folder``/data. ``query`` names the running
+    query for its progress; only one at a time may have a name.
     """
     spark = df.sparkSession
     folder = folder or scratch(spark, name)
-    start = lambda: stream_to_table(df, f"{folder}/data", f"{folder}/checkpoint", trigger=trigger)
+    start = lambda: stream_to_table(df, f"{folder}/data", f"{folder}/checkpoint", query, trigger=trigger)
     if trigger:
         with stream_settings(spark):
             return start()

@@ -46,10 +46,11 @@ def _part(folder, arrival, segments, delay, ts):
     return each
 
 
-def split_stream(df, arrival, segments, delay, name, folder=None, ts="ts", trigger=None):
+def split_stream(df, arrival, segments, delay, name, folder=None, ts="ts", trigger=None, query=None):
     """Part a stream into on-time and late rows; returns the folder, or with a ``trigger`` the running query.
 
     ``arrival`` and ``segments`` as in ``mark_late``. Rows without a time are on time.
+    ``query`` names the running query for its progress.
     """
     spark = df.sparkSession
     folder = folder or scratch(spark, name)
@@ -57,7 +58,7 @@ def split_stream(df, arrival, segments, delay, name, folder=None, ts="ts", trigg
     spark.createDataFrame([], MARKS).drop("batch_id").write.mode("overwrite").parquet(f"{folder}/marks/batch_id=-1")
     empty = df.sparkSession.createDataFrame([], df.schema).withColumn("watermark", F.lit(None).cast("long"))
     empty.write.mode("overwrite").parquet(f"{folder}/rows/batch_id=-1/is_late=false")
-    start = lambda: for_each_batch(df, _part(folder, arrival, segments, delay, ts), f"{folder}/checkpoint", trigger=trigger)
+    start = lambda: for_each_batch(df, _part(folder, arrival, segments, delay, ts), f"{folder}/checkpoint", trigger=trigger, name=query)
     if trigger:
         with stream_settings(spark):
             return start()

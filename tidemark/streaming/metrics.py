@@ -1,23 +1,9 @@
-"""Counts and watermarks of sources and running queries, as tables."""
+"""Counts and watermarks of sources, as tables; ``progress`` has those of running queries."""
 
-import json
-
-from pyspark.sql import functions as F, types as T
-from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql import functions as F
 
 from ..functions.time import interval_ms
 
-PROGRESS = T.StructType([
-    T.StructField("query", T.StringType()),
-    T.StructField("batch_id", T.LongType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("rows", T.LongType()),
-    T.StructField("rows_per_second", T.DoubleType()),
-    T.StructField("watermark", T.StringType()),
-    T.StructField("rows_dropped_late", T.LongType()),
-    T.StructField("state_rows", T.LongType()),
-])
-
 
 def source_metrics(df, name, delay, ts="ts", keys=()):
     """One row per source (and key): rows, time range and final watermark."""
@@ -27,42 +13,3 @@ def source_metrics(df, name, delay, ts="ts", keys=()):
         F.max(ts).alias("last_ts"),
         (F.max(ts) - F.lit(interval_ms(delay))).alias("watermark"),
     ).select(F.lit(name).alias("source"), *keys, "rows", "first_ts", "last_ts", "watermark")
-
-
-def _progress_rows(progress):
-    p = progress if isinstance(progress, dict) else json.loads(progress.json)
-    state = p.get("stateOperators", [])
-    dropped = sum(s.get("numRowsDroppedByWatermark", 0) for s in state)
-    kept = sum(s.get("numRowsTotal", 0) for s in state)
-    for s in p.get("sources", []):
-        yield (
-            p.get("name"), p["batchId"], s.get("description"), int(s.get("numInputRows", 0)),
-            float(s.get("inputRowsPerSecond") or 0.0), p.get("eventTime", {}).get("watermark"),
-            int(dropped), int(kept),
-        )
-
-
-class ProgressLog(StreamingQueryListener):
-    """Appends the progress of all queries of a session to a table in a shared folder.
-
-    One row per micro-batch and source; nothing is dropped.
-    """
-
-    def __init__(self, spark, folder):
-        self.spark, self.folder = spark, folder
-
-    def onQueryStarted(self, event):
-        pass
-
-    def onQueryProgress(self, event):
-        rows = self.spark.createDataFrame(list(_progress_rows(event.progress)), PROGRESS)
-        rows.coalesce(1).write.mode("append").parquet(self.folder)
-
-    def onQueryIdle(self, event):
-        pass
-
-    def onQueryTerminated(self, event):
-        pass
-
-    def table(self):
-        return self.spark.read.schema(PROGRESS).parquet(self.folder)
