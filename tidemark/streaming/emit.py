@@ -22,14 +22,15 @@ def stream_settings(spark):
     """Settings a query picks up when it starts.
 
     State lives in RocksDB, and a commit ships changes instead of whole snapshots;
-    several inputs advance with the slowest. State
-    partitions follow the session's shuffle partitions, except in a local
+    a join keeps both sides in one store a partition instead of four; several inputs
+    advance with the slowest. State partitions follow the session's shuffle partitions, except in a local
     session, where one per core is enough.
     """
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.multipleWatermarkPolicy": "min",
+        "spark.sql.streaming.join.stateFormatVersion": "3",
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     }
     if is_local(spark):
