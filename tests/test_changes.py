@@ -115,3 +115,16 @@ def test_cut_over_counts_each_change_once(spark, folder, cuts):
     assert once.columns == LOG.names
     out = emit.on_update(once, "t", f"{folder}/out", mode="append")
     assert sorted(tuple(r)[:6] for r in out.select(*LOG.names).collect()) == sorted(snapshot + [r for r in log if r[2] > cut])
+
+
+def test_current_totals_hold_many_rows_a_call(spark, folder):
+    """Rows of many keys, null among them, share a call; values of min and max are not asked for one by one."""
+    rows = [(None if k == 0 else k % 50, "I", k, "g", float(k % 7), k) for k in range(200)]
+    log = changes.stream_current_totals(_stream(spark, folder, rows, 2), ["k"], "_lsn", ["g"], TOTALS)
+    query = emit.drain(spark, lambda: log.writeStream.outputMode("append").format("noop")
+                       .option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start())
+    _, parts, _ = (s["numRowsTotal"] for s in query.lastProgress["stateOperators"])
+    # A part has its totals and one list of values for min and one for max.
+    assert parts <= 3 * changes.SALTS
+    out = emit.on_update(log, "t", f"{folder}/out", mode="append")
+    assert _as_dict(emit.apply_changes(out, ["g"]).collect()) == _totals(rows)

@@ -1,13 +1,16 @@
 """Aggregates over the current rows of a change stream, and the cut from a snapshot to its log.
 
 ``stream_current_totals`` works in three stages. The first keeps the newest image of every
-row and hands out what a micro-batch takes back and adds; the second keeps totals of a group
+row and hands out what a micro-batch takes back and adds; rows stand in ``BUCKETS`` groups by
+a hash of their key, as every call for a group costs more than the rows in it; the second keeps totals of a group
 in ``salts`` parts, by a hash of the row's key, so a group with most rows uses several tasks;
 the third, which sees one row for each part that changed, merges parts and tells the changes.
 Counts and sums are taken back by subtraction, so doubles are summed as decimals of ten
-places; for min and max each value is counted.
+places; for min and max each value is counted, and the counts of a part are read and
+written at once.
 """
 
+import pickle
 from decimal import Decimal
 
 import pandas as pd
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 SALTS = 16
+BUCKETS = 1024
 
 _L, _I, _S = T.LongType(), T.IntegerType(), T.StringType()
 _EXACT = T.DecimalType(38, 10)
@@ -30,38 +34,52 @@ def _native(x):
     return x.item() if hasattr(x, "item") else x
 
 
+def _row_key(keys):
+    """All key columns as one text; nulls stay apart from texts."""
+    return F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
+
+
+def _bucket(keys):
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
 class Images(StatefulProcessor):
-    """First stage: newest image of a row; tells the image it takes back and the one it adds."""
+    """First stage: newest image of each row of a bucket; tells the images it takes back and those it adds."""
 
     def __init__(self, order, op, deleted, image, output):
         self.order, self.op, self.deleted, self.image, self.output = order, op, deleted, image, output
 
     def init(self, handle):
         head = [T.StructField("at", self.image["order_no"].dataType, True), T.StructField("live", T.BooleanType(), True)]
-        self.now = handle.getValueState("image", T.StructType(head + self.image.fields[1:]))
+        self.now = handle.getMapState("images", _schema(("row_key", _S)), T.StructType(head + self.image.fields[1:]))
 
     def handleInputRows(self, key, rows, timerValues):
-        newest = None
+        newest = {}
         for pdf in rows:
-            for row in pdf[[*self.image.names, self.op]].astype(object).itertuples(index=False, name=None):
-                if row[0] is not None and (newest is None or row[0] >= newest[0]):
-                    newest = row
-        old = tuple(self.now.get()) if self.now.exists() else None
-        if newest is None or (old is not None and newest[0] <= old[0]):
-            return
+            for row_key, *row in pdf[["row_key", *self.image.names, self.op]].astype(object).itertuples(index=False, name=None):
+                if row[0] is not None and (row_key not in newest or row[0] >= newest[row_key][0]):
+                    newest[row_key] = row
+        out = []
+        for row_key, row in newest.items():
+            out += self._replace(row_key, row)
+        if out:
+            yield pd.DataFrame(out, columns=self.output)
+
+    def _replace(self, row_key, newest):
+        """The image a row loses and the one it gets."""
+        old = self.now.getValue((row_key,))
+        if old is not None and newest[0] <= old[0]:
+            return []
         at, *image, op = newest
         image, live = tuple(_native(x) for x in image), op not in self.deleted
         # A deleted row stays known, so that an older change that comes later does not bring it back.
-        self.now.update((_native(at), live, *image))
+        self.now.updateValue((row_key,), (_native(at), live, *image))
         out = []
         if old is not None and old[1]:
             out.append((*old[2:], -1))
         if live:
             out.append((*image, 1))
-        if len(out) == 2 and out[0][:-1] == out[1][:-1]:
-            return
-        if out:
-            yield pd.DataFrame(out, columns=self.output)
+        return [] if len(out) == 2 and out[0][:-1] == out[1][:-1] else out
 
     def close(self):
         pass
@@ -76,7 +94,7 @@ class Parts(StatefulProcessor):
     def init(self, handle):
         self.now = handle.getValueState("totals", self.schema)
         self.seen = {
-            n: handle.getMapState(f"seen_{n}", _schema(("v", self.schema[n].dataType)), _schema(("n", _L)))
+            n: handle.getValueState(f"seen_{n}", _schema(("counts", T.BinaryType())))
             for n, (how, _) in self.totals.items() if how in ("min", "max")
         }
 
@@ -103,7 +121,8 @@ class Parts(StatefulProcessor):
 
     def _extreme(self, name, how, values, signs, was):
         """The least or greatest value left; values are only listed if the old one is gone."""
-        seen, gone = self.seen[name], False
+        state, gone = self.seen[name], False
+        seen = pickle.loads(bytes(state.get()[0])) if state.exists() else {}
         moved = {}
         for v, s in zip(values, signs.tolist()):
             if not pd.isna(v):
@@ -111,15 +130,17 @@ class Parts(StatefulProcessor):
         best = min if how == "min" else max
         kept = [] if was is None else [was]
         for v, s in moved.items():
-            n = s + (seen.getValue((v,))[0] if seen.containsKey((v,)) else 0)
+            n = s + seen.get(v, 0)
             if n:
-                seen.updateValue((v,), (n,))
+                seen[v] = n
                 kept.append(v)
             else:
-                seen.removeKey((v,))
+                seen.pop(v, None)
                 gone = gone or v == was
+        if any(moved.values()):
+            state.update((pickle.dumps(seen),))
         if gone:
-            kept = [k[0] for k in seen.keys()]
+            kept = list(seen)
         return best(kept) if kept else None
 
     def close(self):
@@ -183,7 +204,8 @@ def stream_current_totals(changes, keys, order, groups, totals, op="_op", delete
     if set(keys) & set(groups):
         raise ValueError("keys and groups must be different columns")
     rows = changes.select(
-        *keys, F.col(order).cast(own(order)).alias("order_no"), *groups, F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int").alias("salt"),
+        _bucket(keys).alias("bucket_no"), _row_key(keys).alias("row_key"), F.col(order).cast(own(order)).alias("order_no"), *groups,
+        F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int").alias("salt"),
         *[F.col(c).cast(kind[c]).alias(f"v_{c}") for c in values], F.col(op).alias("op_code"),
     )
     inner = {n: (how, None if how == "count" else f"v_{c}") for n, (how, c) in totals.items()}
@@ -195,7 +217,7 @@ def stream_current_totals(changes, keys, order, groups, totals, op="_op", delete
     part = _schema(("size", _L), *result)
     step = lambda df, by, processor, out: df.groupBy(*by).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="None")
-    moved = step(rows, keys, Images("order_no", "op_code", tuple(deleted), image, signed.names), signed)
+    moved = step(rows, ["bucket_no"], Images("order_no", "op_code", tuple(deleted), image, signed.names), signed)
     by_part = _schema(*heads, ("salt", _I), *[(f.name, f.dataType) for f in part.fields])
     parts = step(moved, [*groups, "salt"], Parts(groups, inner, part, by_part.names), by_part)
     out = _schema(*heads, ("change", _S), *result)
