@@ -228,19 +228,22 @@ def stream_current_totals(changes, keys, order, groups, totals, op="_op", delete
 
 
 class Once(StatefulProcessor):
-    """Changes of one row: the snapshot's image once, then each change newer than all before."""
+    """Changes of the rows of a bucket: the snapshot's image of a row once, then each change newer than all before."""
 
     def __init__(self, cut):
         self.cut = cut
 
     def init(self, handle):
-        self.now = handle.getValueState("newest", _schema(("at", _EXACT), ("copied", T.BooleanType())))
+        self.now = handle.getMapState("newest", _schema(("row_key", _S)), _schema(("at", _EXACT), ("copied", T.BooleanType())))
 
     def handleInputRows(self, key, rows, timerValues):
-        at, copied = tuple(self.now.get()) if self.now.exists() else (Decimal(self.cut), False)
-        was, keep = (at, copied), []
+        was, now, keep = {}, {}, []
         rows = pd.concat(list(rows), ignore_index=True)
-        for place, copy, body in sorted(rows[["place", "copy_row", "body"]].itertuples(index=False, name=None)):
+        for row_key, place, copy, body in sorted(rows[["row_key", "place", "copy_row", "body"]].itertuples(index=False, name=None)):
+            if row_key not in now:
+                known = self.now.getValue((row_key,))
+                was[row_key] = now[row_key] = (Decimal(self.cut), False) if known is None else tuple(known)
+            at, copied = now[row_key]
             if copy:
                 if not copied:
                     keep.append(body)
@@ -248,8 +251,10 @@ class Once(StatefulProcessor):
             elif place > at:
                 at = place
                 keep.append(body)
-        if (at, copied) != was:
-            self.now.update((at, copied))
+            now[row_key] = at, copied
+        for row_key, value in now.items():
+            if value != was[row_key]:
+                self.now.updateValue((row_key,), value)
         if keep:
             yield pd.DataFrame({"body": keep})
 
@@ -268,11 +273,11 @@ def cut_over(snapshot, changes, keys, cut, order="_lsn"):
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in changes.schema.fields])
     # The row travels as text, so that no value changes its type on the way through pandas.
     plain = lambda df, copied: df.select(
-        *[F.col(k).alias(f"key_{n}") for n, k in enumerate(keys)], F.coalesce(F.col(order).cast(_EXACT), F.lit(cut).cast(_EXACT)).alias("place"),
+        _bucket(keys).alias("bucket_no"), _row_key(keys).alias("row_key"), F.coalesce(F.col(order).cast(_EXACT), F.lit(cut).cast(_EXACT)).alias("place"),
         F.lit(copied).alias("copy_row"), F.to_json(F.struct(*changes.columns)).alias("body"),
     )
     both = plain(snapshot, True).unionByName(plain(changes.where(F.col(order) > cut), False))
-    once = both.groupBy(*[f"key_{n}" for n in range(len(keys))]).transformWithStateInPandas(
+    once = both.groupBy("bucket_no").transformWithStateInPandas(
         statefulProcessor=Once(cut), outputStructType=_schema(("body", _S)), outputMode="append", timeMode="None",
     )
     return once.select(F.from_json("body", schema).alias("row")).select("row.*")
