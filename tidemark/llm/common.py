@@ -48,14 +48,25 @@ def texts(docs, id_col="doc_id", text_col="text"):
     )
 
 
-def store(df, name):
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def store(df, name, once=False):
     """Write a frame to the folder all executors share and read it back.
 
-    Later steps then start from stored rows, also after executors are lost.
+    Later steps then start from stored rows, also after executors are lost. With ``once``
+    nothing else reads what was shuffled for it, and that goes when the rows are stored.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    old = spark.conf.get(CLEANUP_CONF, None)
+    if once:
+        spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if once:
+            spark.conf.unset(CLEANUP_CONF) if old is None else spark.conf.set(CLEANUP_CONF, old)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_bytes(docs):

@@ -197,7 +197,7 @@ def score(docs, id_col="doc_id", text_col="text", modulus=7, remainder=2, order=
     buckets = parts(total, bucket_bytes)
     blocks = store_by_block(make_blocks(docs, id_col, text_col, block_bytes), parts(total, 2 * block_bytes))
     asked = blocks.mapInArrow(_ask(order, buckets, modulus, remainder), _ASK)
-    answers = store(asked.repartition(buckets * order, "bucket", "size").groupBy("bucket", "size").applyInArrow(_answer, _ANSWER), "counts")
+    answers = store(asked.repartition(buckets * order, "bucket", "size").groupBy("bucket", "size").applyInArrow(_answer, _ANSWER), "counts", once=True)
     known = answers.where("size = 0").groupBy("bucket").agg(F.max("total").alias("total"), F.max("distinct").alias("distinct"))
     sums = known.agg(F.sum("total").alias("t"), F.sum("distinct").alias("d")).first()
     tokens_total, distinct = sums["t"] or 0, sums["d"] or 0
