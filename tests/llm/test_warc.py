@@ -59,6 +59,13 @@ def test_changed_payload_is_found(spark):
         warc.fields(warc.read(spark, folder)).collect()
 
 
+def test_payloads_stay_where_they_are_read(spark):
+    """Size and digest are told without moving the payloads to the headers."""
+    found = warc.fields(warc.read(spark, warc.write(pages(spark, ROWS))))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS payload_digest#" in plan[plan.index("Join"):] and "AS payload#" not in plan
+
+
 def test_given_table(spark, data):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{data}/pages.parquet'")

@@ -73,30 +73,34 @@ def write(pages, folder=None, id_col="page_id", url_col="url", payload_col="html
 
 
 def read(spark, folder):
-    """Every page's header, full payload and record bytes, through a join on the digest.
+    """Every page's header, full payload, its size and digest, and record bytes, through a join on the digest.
 
     A record of a revisit ends after its header, as its payload is another
-    record's. Each payload's digest is computed again when it is read; bytes
-    that don't fit their digest fail the job.
+    record's. Each payload's size and digest are computed again when it is read, before
+    the join, so that payloads move only if the payload or the record is asked for;
+    bytes that don't fit their digest fail the job.
     """
     headers = spark.read.schema("page_id long, digest string, header string").parquet(f"{folder}/headers")
     payloads = spark.read.schema("digest string, payload binary").parquet(f"{folder}/payloads")
-    fits = F.sha2("payload", 256) == F.col("digest")
-    sound = payloads.select("digest", F.when(fits, F.col("payload")).otherwise(
-        F.raise_error(F.concat(F.lit("payload doesn't fit digest "), F.col("digest"))).cast("binary")).alias("payload"))
+    found = F.sha2("payload", 256)
+    fault = F.raise_error(F.concat(F.lit("payload doesn't fit digest "), F.col("digest")))
+    sound = payloads.select(
+        "digest", F.when(found == F.col("digest"), F.col("payload")).otherwise(fault.cast("binary")).alias("payload"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.when(found == F.col("digest"), found).otherwise(fault.cast("string")).alias("payload_digest"),
+    )
     body = F.when(F.col("header").contains("\r\nWARC-Type: revisit\r\n"), F.lit(b"")).otherwise(F.col("payload"))
     return headers.join(sound, "digest").select(
-        "page_id", "header", "payload",
+        "page_id", "header", "payload", "payload_bytes", "payload_digest",
         F.concat(F.encode("header", "utf-8"), body, F.lit(b"\r\n\r\n")).alias("record"),
     )
 
 
 def fields(records):
-    """What the headers say, beside size and digest of the payload that was read back."""
+    """What the headers say, beside size and digest of the payload that was read back; takes the rows of ``read``."""
     of = lambda pattern: F.nullif(F.regexp_extract("header", pattern, 1), F.lit(""))
     return records.select(
-        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_digest"),
+        "page_id", "payload_bytes", "payload_digest",
         of("\r\nWARC-Type: ([a-z]+)\r\n").alias("record_type"),
         of("\r\nWARC-Refers-To: <urn:page:(-?[0-9]+)>\r\n").cast("long").alias("refers_to"),
     )
