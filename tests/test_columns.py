@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import json_codec, sql
 from tidemark.functions.time import interval_ms, start_ms, tumble, window_start, with_event_time
 from tidemark.schemas import TRADES
+from tidemark.sources import cdc, kafka as kafka_source
 
 
 @pytest.mark.parametrize("span,ms", [
@@ -43,3 +44,19 @@ def test_json_round_trip_and_bad_payload(spark):
     assert json_codec.decode(sent, TRADES).collect() == rows.collect()
     bad = json_codec.decode(spark.createDataFrame([("{oops",)], "value string"), TRADES)
     assert bad.where(F.col("symbol").isNull()).count() == 1
+
+
+def test_text_is_parsed_once_a_row(spark):
+    """Not once for every column and every test of a NOT NULL column."""
+    records = spark.createDataFrame([('{"symbol": "A", "price": 1.5, "volume": 2, "ts": 3}',), ("{oops",), (None,)], "value string")
+    rows = kafka_source.decode_json(records)
+    assert [tuple(r)[:4] for r in rows.collect()] == [("A", 1.5, 2, 3)]
+    image = '{"id": 1, "customer_id": 2, "amount": 0.5, "status": "s", "ts": 4}'
+    log = spark.createDataFrame(
+        [("o", "I", 1, 2, None, image), ("o", "D", 2, 3, image, None), ("o", "U", 3, 4, image, None), ("o", "U", 4, 5, None, "{")],
+        "_table string, _op string, _lsn long, _ts_ms long, _before string, _after string")
+    changes = cdc.decode_envelope(log).where("customer_id IS NULL OR amount > 0")
+    seen, none = (1, 2, 0.5, "s", 4), (None,) * 5
+    assert [tuple(r)[4:] for r in changes.orderBy("_lsn").collect()] == [seen, seen, none, none]
+    for df in (rows, changes):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1

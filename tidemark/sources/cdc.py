@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F, types as T
 
+from ..functions.json_codec import parsed_once
 from ..schemas import CDC_ORDERS
 
 
@@ -12,9 +13,8 @@ def decode_envelope(envelopes, schema=CDC_ORDERS):
     """
     loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
     image = F.when(F.col("_op") == "D", F.col("_before")).otherwise(F.col("_after"))
-    return envelopes.select(
-        "_table", "_op", "_lsn", "_ts_ms", F.from_json(image, loose).alias("_row")
-    ).select("_table", "_op", "_lsn", "_ts_ms", "_row.*")
+    own = ["_table", "_op", "_lsn", "_ts_ms"]
+    return parsed_once(envelopes, F.from_json(image, loose), "_row", own).select(*own, "_row.*")
 
 
 def jdbc_options(host, port, database, username, password, table, partition_column=None,
