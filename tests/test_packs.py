@@ -1,0 +1,58 @@
+"""Packed chunks before Python states, and the late rows among their rows."""
+
+import random
+
+from pyspark.sql import functions as F, types as T
+
+from tidemark.functions import measures as M
+from tidemark.functions.time import with_event_time
+from tidemark.schemas import TRADES
+from tidemark.sources import files
+from tidemark.streaming import emit, packs, sessions, stateful
+
+T0 = 1_700_000_000_000
+
+
+def test_rows_reach_a_state_as_few_chunks(spark):
+    rows = with_event_time(spark.range(30_000, numPartitions=1).select(
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("K"), F.col("id") % 3)).alias("symbol"), (F.col("id") + T0).alias("ts")))
+    chunks = packs.packed(rows, "event_time").where("rows IS NOT NULL")
+    assert chunks.count() == 3
+    assert chunks.agg(F.max(F.unix_millis("event_time"))).first()[0] == T0 + 29_999
+    back = packs.unpacked(chunks, T.StructType([rows.schema["symbol"], rows.schema["ts"]]))
+    assert back.exceptAll(rows.drop("event_time")).isEmpty() and back.count() == 30_000
+
+
+def _cut(spark, folder, rows, cuts):
+    path, size = f"{folder}/{cuts}", -(-len(rows) // cuts)
+    for k in range(0, len(rows), size):
+        files.append(spark, spark.createDataFrame(rows[k : k + size], TRADES).coalesce(1), path, TRADES)
+    live = files.source(files.read_stream(spark, path, TRADES, max_files=1), TRADES)
+    return emit.watermark(live, "3 seconds"), size
+
+
+def test_late_rows_of_a_mixed_chunk(spark, folder):
+    """Late and other rows share chunks. Both states keep what a row-wise filter keeps."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["A", "B"]), float(k), k, T0 + k * 100 - rng.choice([0, 0, 0, 2_000, 15_000])) for k in range(600)]
+    live, size = _cut(spark, folder, rows, 6)
+    changes = sessions.stream_session_updates(live, ["symbol"], 500, [M.count_rows("n")], cells_per_block=8)
+    out = emit.on_update(changes, "s", f"{folder}/s", mode="append")
+    last = emit.final_rows(out, ["symbol", "session_start"]).where("change = '+U'")
+    # The watermark of a micro-batch comes from the rows before it; late rows are told by the one before that.
+    high, marks = 0, []
+    for k in range(0, len(rows), size):
+        marks.append(max(high - 3_000, 0))
+        high = max(high, *[r[3] for r in rows[k : k + size]])
+    late_marks = [0, *marks[:-1]]
+    kept = [r for i, r in enumerate(rows) if r[3] > late_marks[i // size]]
+    assert 0 < len(kept) < len(rows)
+    assert last.agg(F.sum("n")).first()[0] == len(kept)
+
+    end = max(high - 3_000, 0)
+    lead = emit.on_close(stateful.stream_lead(
+        live.select("symbol", "price", "volume", "ts", "event_time"), ["symbol"], "price", "next_price", ["ts", "volume"], segment="10 seconds"),
+        "l", f"{folder}/l")
+    # A row that is not late may still come behind rows that went out, so only the rows that come out are told.
+    got = {r.volume for r in lead.collect()}
+    assert got <= {r[2] for r in kept} and len(got) > 0.9 * len([r for r in kept if r[3] <= end])

@@ -1,8 +1,8 @@
 """Sessions of a stream handed out whenever they change, with any measures.
 
-Rows become one-row partials of the measures before the state. A first stage, keyed by key
-and block of time, folds the partials of a micro-batch to cells of the gap's width and the
-cells into the open pieces of its block; only pieces that a micro-batch touches are read
+Rows become one-row partials of the measures before the state and cells of the gap's width in
+packed chunks (``packs``). A first stage, keyed by key and block of time, folds the cells of a
+micro-batch into the open pieces of its block; only pieces that a micro-batch touches are read
 and written. A piece farther than the gap from both ends of its block is a session. The
 others may go on in the next block: they meet in a second stage, which holds a key's edge
 pieces only. So one busy key uses as many tasks as it has blocks at a time.
@@ -10,12 +10,14 @@ pieces only. So one busy key uses as many tasks as it has blocks at a time.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions import measures as M
 from ..functions.time import interval_ms
 from ..schemas import EVENT_TIME, TIME
+from . import packs
 
 CELLS_PER_BLOCK = 256
 # A piece that was handed out as a session and is an edge piece now.
@@ -97,12 +99,33 @@ def _plain(pieces):
     return [tuple(None if x is None or x is pd.NA or x != x else x for x in row) for row in pieces.astype(object).itertuples(index=False, name=None)]
 
 
+class Cells:
+    """Rows of a chunk as cells: those of a key and block in one cell of the gap's width are one piece."""
+
+    def __init__(self, by, gap, folds, names, ts, event_time):
+        self.by, self.gap, self.folds, self.names, self.ts, self.event_time = by, gap, folds, names, ts, event_time
+
+    def __call__(self, table):
+        times = table[self.ts].to_numpy()
+        code = packs.codes(table, self.by)
+        order = np.lexsort((times // self.gap, code))
+        table, times, code = table.take(pa.array(order)), times[order], code[order]
+        opens = np.ones(len(times), dtype=bool)
+        opens[1:] = (np.diff(code) != 0) | (np.diff(times // self.gap) != 0)
+        first = np.flatnonzero(opens)
+        rows = packs.to_pandas(table.select(list(self.folds.kinds))).assign(s=times, e=times)
+        out = self.folds(rows, np.cumsum(opens)).reset_index(drop=True)
+        head = packs.to_pandas(table.select(self.by).take(pa.array(first)))
+        head[self.event_time] = packs.instants(np.maximum.reduceat(packs.micros(table[self.event_time]), first))
+        return pd.concat([head, out], axis=1)[self.names]
+
+
 class Blocks(StatefulProcessor):
     """First stage: open pieces of a key and block."""
 
-    def __init__(self, keys, gap, width, folds, schema, names, ts):
+    def __init__(self, keys, gap, width, folds, schema, names):
         self.keys, self.gap, self.width, self.folds = keys, gap, width, folds
-        self.schema, self.names, self.ts = schema, names, ts
+        self.schema, self.names = schema, names
 
     def init(self, handle):
         self.handle = handle
@@ -117,8 +140,7 @@ class Blocks(StatefulProcessor):
         rows = pd.concat(list(rows), ignore_index=True)
         if rows.empty:
             return
-        rows = rows.assign(s=rows[self.ts], e=rows[self.ts])
-        fresh = self.folds(rows, (rows[self.ts] // self.gap).to_numpy())
+        fresh = self.folds(rows, (rows["s"] // self.gap).to_numpy())
         starts, ends = self.kept.read()
         # A piece is touched if a fresh cell lies within the gap of it.
         first = np.searchsorted(fresh["e"].to_numpy(), starts - self.gap)
@@ -259,8 +281,14 @@ def stream_session_updates(df, keys, gap, measures, cells_per_block=CELLS_PER_BL
         T.StructField("mark", _L, True), *bounds, *parts.fields,
     ])
     out = T.StructType([*own, change, *bounds, *parts.fields])
-    pieces = rows.groupBy(*keys, "block_no").transformWithStateInPandas(
-        statefulProcessor=Blocks(keys, gap, width, folds, parts, between.names, ts),
+    by = [*keys, "block_no"]
+    piece = T.StructType([
+        *own, T.StructField("block_no", _L, True), T.StructField(event_time, T.TimestampType(), True),
+        T.StructField("s", _L, True), T.StructField("e", _L, True), *parts.fields,
+    ])
+    cells = packs.gated(rows, Cells(by, gap, folds, piece.names, ts, event_time), piece, event_time)
+    pieces = cells.groupBy(*by).transformWithStateInPandas(
+        statefulProcessor=Blocks(keys, gap, width, folds, parts, between.names),
         outputStructType=between, outputMode="append", timeMode="EventTime",
     )
     told = pieces.groupBy(*keys, "edge_row", "block_no").transformWithStateInPandas(
