@@ -1,9 +1,13 @@
+import math
+import random
+import struct
 from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import json_codec, sql
+from tidemark.functions.numbers import round4
 from tidemark.functions.time import interval_ms, start_ms, tumble, window_start, with_event_time
 from tidemark.plans import registry
 from tidemark.schemas import TRADES
@@ -24,6 +28,19 @@ def test_bad_interval(span):
         interval_ms(span)
 
 
+def test_round4_is_round_to_the_bit(spark):
+    """Also halfway between two results, next to it, and for values that aren't numbers."""
+    rng = random.Random(4)
+    near = [math.nextafter(v, to) for v in (0.00005, 1.00005, -2.71825, 12345.67895) for to in (-math.inf, math.inf)]
+    halves = [(2 * rng.randrange(-10**9, 10**9) + 1) / 20_000 for _ in range(2_000)]
+    spread = [rng.uniform(-1, 1) * 10 ** rng.randrange(-9, 13) for _ in range(4_000)]
+    odd = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, -0.00001, 0.00005, -0.00005, 1e8, 999_999_999.99995, 1e9, -1e15, 1e300, 5e-324]
+    df = spark.createDataFrame([(v,) for v in [*near, *halves, *spread, *odd]], "x double")
+    bits = lambda v: None if v is None else struct.pack(">d", v)
+    rows = df.select("x", F.round("x", 4).alias("want"), round4(F.col("x")).alias("got")).collect()
+    assert [r for r in rows if bits(r.want) != bits(r.got)] == []
+
+
 def test_row_window_start_equals_grouped_window_start(spark):
     df = with_event_time(spark.range(-20_000, 20_000, 777).withColumnRenamed("id", "ts"))
     got = df.select(

@@ -247,6 +247,16 @@ def test_band_join(df, right, rows, right_rows, lower, upper, bucket):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_band_join_of_small_tables_is_spread(spark):
+    """No table goes out whole, times meet as integers, and null keys and times match nothing."""
+    left = with_event_time(spark.createDataFrame([(1, "a", 0), (2, "a", 500), (3, None, 0), (4, "a", None)], "id long, symbol string, ts long"))
+    right = left.withColumnRenamed("id", "rid")
+    got = joins.band_join(left, right, ["symbol"], -100, 0, ["l.id", "r.rid"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "INTERVAL" not in plan and "SortMergeJoin" in plan
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (2, 2)]
+
+
 def _asof(rows, right_rows, tolerance):
     by = _by_key(right_rows)
     out = {}
