@@ -9,7 +9,7 @@ from tidemark.functions.time import with_event_time
 from tidemark.operators import joins
 from tidemark.sinks.tables import stream_to_table
 from tidemark.sources import files
-from tidemark.streaming import bands, emit
+from tidemark.streaming import bands, emit, native
 
 T0 = 1_700_000_000_000
 LEFT = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("id", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("ts", T.LongType())])
@@ -77,3 +77,18 @@ def test_state_and_pairs_are_chunks(spark, folder):
     assert max(s.numRowsTotal for p in seen for s in p.stateOperators) < 20
     table = spark.read.parquet(f"{folder}/out/data")
     assert table.count() < 20 and found.unnested(table).count() == 9_000_000
+
+
+def test_newest_match_meets_few_candidates(spark, folder):
+    """Candidates of a left row are one a chunk, not all rows in the band."""
+    rows = [("A", k, 1.0, T0 + k) for k in range(2_000)]
+    l = _live(spark, f"{folder}/l", [*rows, ("Z", 0, 1.0, T0 + 10_000_000)], LEFT, 1)
+    r = _live(spark, f"{folder}/r", [*[("A", k % 1_000, f"N{k}", T0 + k // 2) for k in range(2_000)], ("Z", 0, "N", T0 + 10_000_000)], RIGHT, 1)
+    made = bands.band_newest(l, r, ["symbol"], -600_000, 0, 600_000, ["id", "ts"], ["ts", "name"], "ts", "event_time", "rid")
+    seen = _progress(spark, made, f"{folder}/made")
+    assert spark.read.parquet(f"{folder}/made/data").count() <= 2 * 2_001
+    assert max(s.numRowsTotal for p in seen for s in p.stateOperators) < 20
+    out = emit.on_close(native.stream_asof_band(l, r, ["symbol"], ["name"], "id", "10 minutes", "rid"), "q", f"{folder}/out")
+    # Two rows of R are at each instant; the larger rid wins, and 999 is followed by 0.
+    newest = lambda k: max((2 * k, 2 * k + 1), key=lambda j: j % 1_000)
+    assert {(x.id, x.name) for x in out.where("id > 0 OR name <> 'N'").collect()} == {(k, f"N{newest(min(k, 999))}") for k in range(2_000)}
