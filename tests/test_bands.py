@@ -3,10 +3,11 @@
 import random
 
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from tidemark.functions.time import with_event_time
 from tidemark.operators import joins
+from tidemark.plans import fraud
 from tidemark.sinks.tables import stream_to_table
 from tidemark.sources import files
 from tidemark.streaming import bands, emit, native
@@ -92,3 +93,18 @@ def test_newest_match_meets_few_candidates(spark, folder):
     # Two rows of R are at each instant; the larger rid wins, and 999 is followed by 0.
     newest = lambda k: max((2 * k, 2 * k + 1), key=lambda j: j % 1_000)
     assert {(x.id, x.name) for x in out.where("id > 0 OR name <> 'N'").collect()} == {(k, f"N{newest(min(k, 999))}") for k in range(2_000)}
+
+
+def test_detection_matches_are_written_nested(spark, folder):
+    """The six streams write the matches of a band as few rows, and return all of them."""
+    l, r = _live(spark, f"{folder}/l", L, LEFT), _live(spark, f"{folder}/r", R, RIGHT)
+    side = [F.lit("A-1").alias("account_id"), F.lit("buy").alias("side"), "event_time"]
+    trades = l.select("symbol", "price", F.col("id").alias("volume"), "ts", F.col("id").alias("seq"), *side)
+    orders = r.select("symbol", "ts", F.col("rid").alias("order_no"), F.col("name").alias("order_id"), F.lit(1.0).alias("price"), *side)
+    streams = fraud.detection_streams(
+        trades, orders, hop_size="2 seconds", hop_slide="1 second", bar="1 second", burst_gap="1 second", wash="1 second",
+        match="1 second", order="seq", segment="1 hour", nested=True)
+    out = emit.on_close_all({"suspicious_match": streams["suspicious_match"]}, "d", f"{folder}/out")["suspicious_match"]
+    flat = joins.band_join(_table(spark, L, LEFT), _table(spark, R, RIGHT), ["symbol"], -1_000, 1_000, ["l.price", "r.name"])
+    assert sorted(map(tuple, out.select("trade_price", "order_id").collect()), key=repr) == sorted(map(tuple, flat.collect()), key=repr)
+    assert spark.read.parquet(f"{folder}/out/suspicious_match/data").count() * 100 < flat.count()
