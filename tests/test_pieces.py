@@ -1,0 +1,55 @@
+"""Segments of a key are worked on in pieces."""
+
+import random
+
+import pyarrow as pa
+from pyspark.sql import functions as F, types as T
+
+from tidemark.functions.time import with_event_time
+from tidemark.operators import analytic, joins
+from tidemark.sources import files
+from tidemark.streaming import emit, stateful
+
+T0 = 1_700_000_000_000
+SCHEMA = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("id", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("ts", T.LongType())])
+END = ("ZZZ", -1, 0.0, T0 + 10_000_000)
+
+
+def _rows(seed):
+    """Several rows an instant, some values null."""
+    rng = random.Random(seed)
+    return [(rng.choice(["A", "B"]), k, None if k % 9 == 0 else k / 4, T0 + k * 100 // 3 // 100 * 100) for k in range(400)] + [END]
+
+
+def _live(spark, folder, rows, cuts=3):
+    size = -(-len(rows) // cuts)
+    for k in range(0, len(rows), size):
+        spark.createDataFrame(rows[k : k + size], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    return emit.watermark(with_event_time(files.read_stream(spark, folder, SCHEMA, max_files=1)), "5 seconds")
+
+
+def _same(a, b):
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(set(df.columns) - {"event_time"})).where("symbol <> 'ZZZ'").collect()), key=repr)
+    assert rows(a) == rows(b) and len(rows(a)) > 300
+
+
+def test_pieces_are_in_order_and_keep_instants_whole():
+    first = stateful.Segments(["symbol"], None, ["ts", "id"], 1_000, None, None)
+    first.piece = 10
+    ts = [k // 4 for k in range(95)]
+    table = pa.table({"ts": ts, "id": [-k for k in range(95)]}).take(random.Random(1).sample(range(95), 95))
+    pieces = [p.to_pylist() for p in first._pieces(table)]
+    assert [len(p) for p in pieces] == [12] * 7 + [11]
+    assert [x for p in pieces for x in p] == sorted(table.to_pylist(), key=lambda r: (r["ts"], r["id"]))
+
+
+def test_results_do_not_depend_on_pieces(spark, folder, monkeypatch):
+    monkeypatch.setattr(stateful, "PIECE", 7)
+    left, right = _rows(1), _rows(2)
+    l, r = _live(spark, f"{folder}/l", left), _live(spark, f"{folder}/r", right)
+    flat, other = (with_event_time(spark.createDataFrame(x, SCHEMA)) for x in (left, right))
+    lag = stateful.stream_lag(l, ["symbol"], "price", "prev", ["ts", "id"], -1.0, segment="1 hour")
+    _same(emit.on_close(lag, "l", f"{folder}/lag"), analytic.lag(flat, ["symbol"], "price", "prev", tiebreak="id", default=-1.0))
+    side = lambda df: df.select("symbol", "id", F.col("price").alias("found"), "ts", "event_time").withColumnRenamed("id", "rid")
+    asof = stateful.stream_asof(l, side(r), ["symbol"], ["rid", "found"], "rid", segment="1 hour")
+    _same(emit.on_close(asof, "a", f"{folder}/asof"), joins.asof_join(flat, side(other).drop("event_time"), ["symbol"], ["rid", "found"], tiebreak="rid"))
