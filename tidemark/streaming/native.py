@@ -1,4 +1,4 @@
-"""Stream forms of LAG, LEAD and as-of that need only built-in operators."""
+"""Stream forms of LAG, LEAD and as-of whose state is in built-in operators."""
 
 from pyspark.sql import functions as F
 
